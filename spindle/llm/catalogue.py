@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from spindle.llm import quality
+from spindle.llm import packing, quality, tokens
 
 QUERIES = {
+    "op3_token_counts": tokens.query,
     "op7_quality_rules": quality.query,
+    "op10_best_fit_packing": packing.query,
 }
 
 ORACLE_SQL = {
