@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spindle.llm import packing, quality, tokens
+from spindle.llm import bpe, packing, quality, tokens
 
 QUERIES = {
+    "op1_bpe": bpe.query,
     "op3_token_counts": tokens.query,
     "op7_quality_rules": quality.query,
     "op10_best_fit_packing": packing.query,
