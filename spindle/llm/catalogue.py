@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, packing, quality, tokens
+from spindle.llm import bpe, packing, quality, simhash, tokens
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op3_token_counts": tokens.query,
+    "op5_simhash": simhash.query,
     "op7_quality_rules": quality.query,
     "op10_best_fit_packing": packing.query,
 }
