@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, packing, quality, simhash, tokens
+from spindle.llm import bpe, packing, quality, simhash, tokens, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_warc": warc.query,
     "op3_token_counts": tokens.query,
     "op5_simhash": simhash.query,
     "op7_quality_rules": quality.query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.ORACLE,
     "op7_quality_rules": quality.oracle(),
 }
