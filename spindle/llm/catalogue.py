@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, packing, quality, simhash, tokens, warc
+from spindle.llm import bpe, packing, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_warc": warc.query,
     "op3_token_counts": tokens.query,
+    "op4_toxicity": toxicity.query,
     "op5_simhash": simhash.query,
     "op7_quality_rules": quality.query,
     "op10_best_fit_packing": packing.query,
