@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, packing, quality, simhash, tokens, toxicity, warc
+from spindle.llm import bpe, chat, packing, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_simhash": simhash.query,
     "op7_quality_rules": quality.query,
+    "op8_chat_format": chat.query,
     "op10_best_fit_packing": packing.query,
 }
 
 ORACLE_SQL = {
     "op2_warc": warc.ORACLE,
     "op7_quality_rules": quality.oracle(),
+    "op8_chat_format": chat.ORACLE,
 }
