@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.llm import bpe, chat, packing, quality, simhash, tokens, toxicity, warc
+from spindle.llm import ann, bpe, chat, packing, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.query,
     "op7_quality_rules": quality.query,
     "op8_chat_format": chat.query,
+    "op9_ann": ann.query,
     "op10_best_fit_packing": packing.query,
 }
 
