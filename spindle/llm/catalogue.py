@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spindle.llm import ann, bpe, chat, packing, quality, simhash, tokens, toxicity, warc
+from spindle.llm import ann, bpe, chat, maxent, packing, quality, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_counts": tokens.query,
     "op4_toxicity": toxicity.query,
     "op5_simhash": simhash.query,
+    "op6_maxent_lm": maxent.query,
     "op7_quality_rules": quality.query,
     "op8_chat_format": chat.query,
     "op9_ann": ann.query,
