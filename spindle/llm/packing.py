@@ -16,6 +16,7 @@ that has the name of a result is replaced.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindle.llm.common import table, written
-from spindle.llm.tokens import CACHE, WORDS, batches_of, tokenizer, vocabulary_path
+from spindle.llm.tokens import CACHE, batches_of, tokenizer, vocabulary_path, words
 
 CAPACITY = 2048
 #: The id that ends each document.
@@ -46,15 +47,15 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
         for batch in batches:
             keys, texts = batch.column("id"), batch.column("text").to_pylist()
             for a, b in batches_of(texts):
-                split = [WORDS.findall(x) for x in texts[a:b]]
+                split = [words(x) for x in texts[a:b]]
                 if len(known) > CACHE:
                     known.clear()
                 new = list(set().union(*split) - known.keys())
                 for word, found in zip(new, made.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[word] = np.array(found.ids, "<u4").tobytes()
+                    known[word] = array("I", found.ids).tobytes()
                 get, rows, pieces, starts, ids = known.__getitem__, [], [], [], []
-                for i, words in enumerate(split, a):
-                    whole = b"".join(map(get, words)) + end
+                for i, parts in enumerate(split, a):
+                    whole = b"".join(map(get, parts)) + end
                     for piece, at in enumerate(range(0, len(whole), width)):
                         rows.append(i)
                         pieces.append(piece)

@@ -10,6 +10,7 @@ table gives an empty result. Only the named columns are read, so other columns c
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +42,7 @@ def vocabulary_path(name: str) -> str:
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     made = Tokenizer.from_file(path)
     made.no_padding()
     made.no_truncation()
@@ -72,6 +74,27 @@ def pre_tokens(made, text: str) -> list[str] | None:
     """The pre-tokens of a text without characters beyond Latin-1 or special strings; else None."""
     return PRE_TOKENS.findall(text) if PLAIN.fullmatch(text) and "<|" not in text else None
 
+#: Of a lower-case Latin-1 text: no pre-token has a letter or number before another character.
+PARTS = re.compile(f"[{LETTERS}{NUMBERS}]+|[^{SPACES}{LETTERS}{NUMBERS}]+[{LETTERS}{NUMBERS}]*")
+
+
+def words(text: str) -> list[str]:
+    """Parts of a text that tokenize alone as they do inside it, for a tokenizer that lower-cases and drops white space."""
+    if PLAIN.fullmatch(text) and "<|" not in text:
+        return PARTS.findall(text.lower())
+    return WORDS.findall(text)
+
+
+#: The same for a byte-level tokenizer, white space kept with what follows it.
+CASED_PARTS = re.compile(f"[{SPACES}]*(?:[{LETTERS}{NUMBERS}]+|[^{SPACES}{LETTERS}{NUMBERS}]+[{LETTERS}{NUMBERS}]*)|[{SPACES}]+")
+
+
+def pieces(text: str) -> list[str]:
+    """Parts of a text, nothing left out, that tokenize alone as they do inside it, for a byte-level tokenizer."""
+    if PLAIN.fullmatch(text) and "<|" not in text:
+        return CASED_PARTS.findall(text)
+    return PIECES.findall(text)
+
 
 class Counter:
     """Counts tokens of texts, piece by piece."""
@@ -79,12 +102,10 @@ class Counter:
     def __init__(self, path: str, proved: frozenset[str]):
         self.made, self.proved, self.known = tokenizer(path), proved, {}
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, new: set[str]) -> None:
         """Find the counts of new pieces: whole tokens count one each, the rest is merged by the library."""
-        if len(self.known) > CACHE:
-            self.known.clear()
         rest: dict[str, list[str]] = {}
-        for piece in pieces:
+        for piece in new:
             if piece in self.proved:
                 self.known[piece] = 1
                 continue
@@ -101,7 +122,7 @@ class Counter:
             self.known[piece] += sum(map(merged.__getitem__, xs))
 
     def count(self, texts: list[str]) -> list[int]:
-        split = [PIECES.findall(x) for x in texts]
+        split = [pieces(x) for x in texts]
         new = set().union(*split) - self.known.keys()
         if new:
             if len(self.known) > CACHE:
@@ -109,7 +130,7 @@ class Counter:
                 new = set().union(*split)
             self.learn(new)
         get = self.known.__getitem__
-        return [sum(map(get, pieces)) for pieces in split]
+        return [sum(map(get, parts)) for parts in split]
 
 
 def batches_of(texts: list[str | None], characters: int = 2_000_000) -> Iterator[tuple[int, int]]:
