@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from spindle.llm.common import written
 
 #: Characters in a block; a bound on a task's memory.
-BLOCK = 32_000_000
+BLOCK = 12_000_000
+#: Rows of a batch that are Python objects at a time.
+ROWS = 256
 #: Bucket number of the row that holds a block's codes.
 CODES = -1
 BUCKETS_PER_BLOCK_SHIFT = 20
@@ -66,7 +68,7 @@ def buckets_of(df: DataFrame) -> int:
 
 def split_blocks(
     docs: DataFrame,
-    words_of: Callable[[str], list[str]],
+    words_of: Callable[[str], list[str] | list[bytes]],
     id_col: str,
     text_col: str,
     flag: str | None = None,
@@ -87,8 +89,8 @@ def split_blocks(
         base = TaskContext.get().partitionId() << BUCKETS_PER_BLOCK_SHIFT
         id_type = None
 
-        def rows(ids: list, flags: list[bool], codes: list[np.ndarray], known: dict[str, int], block: int) -> pa.RecordBatch:
-            words = [w.encode("utf-8", "surrogatepass") for w in known]
+        def rows(ids: list, flags: list[bool], codes: list[np.ndarray], known: dict[str | bytes, int], block: int) -> pa.RecordBatch:
+            words = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in known]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
             order = np.argsort(bucket, kind="stable")
             renumbered = np.empty(len(words), np.int32)
@@ -107,11 +109,11 @@ def split_blocks(
             )
 
         block, size, ids, flags, codes = 0, 0, [], [], []
-        known: dict[str, int] = defaultdict()
+        known: dict[str | bytes, int] = defaultdict()
         known.default_factory = known.__len__
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for key, text, set_ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, text, set_ in (x for a in range(0, batch.num_rows, ROWS) for x in zip(*(batch.slice(a, ROWS).column(i).to_pylist() for i in range(3)), strict=True)):
                 if size and size + len(text) > BLOCK:
                     yield rows(ids, flags, codes, known, block)
                     block, size, ids, flags, codes = block + 1, 0, [], [], []

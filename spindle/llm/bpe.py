@@ -1,6 +1,6 @@
 """Byte-pair encoding by a table of distinct words, and decoding through an id-to-piece join.
 
-Texts are split where white space begins; these words tokenize alone as they do in their text. Tasks that each hold a
+Texts are split where white space begins, or punctuation after a letter; these words tokenize alone as in their text. Tasks that each hold a
 share of the words encode each distinct word once, and the ids are joined back by position (see `blocks`). Decoding
 joins each id with its piece; that table has as many rows as the vocabulary, so every executor gets it.
 
@@ -11,6 +11,7 @@ are read, so other columns can have any name.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +22,15 @@ from pyspark.sql import functions as F
 
 from spindle.llm import blocks as B
 from spindle.llm.common import table
-from spindle.llm.tokens import PIECES, tokenizer, vocabulary_path
+from spindle.llm.tokens import pieces, tokenizer, vocabulary_path
 
 #: Ids in a batch of results.
-BATCH = 4_000_000
+BATCH = 2_000_000
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of each row of docs and `ids`, the tokens of its text. vocabulary: a .json file of a byte-level tokenizer."""
-    blocks = B.split_blocks(docs, PIECES.findall, id_col, text_col)
+    blocks = B.split_blocks(docs, pieces, id_col, text_col)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +40,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 words = B.unpack_words(batch.column("data")[i].as_py())
                 new = [w for w in words if w not in known]
                 for word, found in zip(new, made.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    known[word] = np.array(found.ids, "<i4").tobytes()
+                    known[word] = array("i", found.ids).tobytes()
                 ids = [known[w] for w in words]
                 data = B.packed(np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids)), np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), batch.column("bucket").slice(i, 1), pa.array([data], pa.binary())], ["block", "bucket", "data"])
@@ -76,18 +77,18 @@ def byte_alphabet() -> dict[str, int]:
 def piece_table(vocabulary: str) -> list[bytes]:
     """The bytes of each id; empty for ids without a token."""
     made, alphabet = tokenizer(vocabulary), byte_alphabet()
-    pieces = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in made.get_vocab(with_added_tokens=True).items()}
-    return [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+    found = {i: bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode() for t, i in made.get_vocab(with_added_tokens=True).items()}
+    return [found.get(i, b"") for i in range(max(found) + 1)]
 
 
 def decoded(ids: Column, spark: SparkSession, vocabulary: str) -> Column:
     """The text of a column of ids; bytes that are no UTF-8 become U+FFFD."""
-    pieces = spark.sparkContext.broadcast(piece_table(vocabulary))
+    sent = spark.sparkContext.broadcast(piece_table(vocabulary))
     state: dict[str, pa.Array] = {}
 
     def join(column: pa.Array) -> pa.Array:
         if "pieces" not in state:
-            state["pieces"] = pa.array([*pieces.value, b""], pa.large_binary())
+            state["pieces"] = pa.array([*sent.value, b""], pa.large_binary())
         table, none = state["pieces"], len(state["pieces"]) - 1
         out = []
         step = max(1, len(column) // max(1, 1 + len(column.flatten()) // BATCH))
