@@ -74,21 +74,28 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     known = own.select("tree", F.col("node").alias("above"))
     linked = own.alias("m").join(known.alias("k"), same("m", "k") & (F.col("m.parent") == F.col("k.above")), "left")
     jump = written(linked.select("m.tree", "m.node", "k.above", F.lit(1).cast("bigint").alias("steps"), "m.score"), "jump")
-    # jump: the ancestor 2^k steps above, null beyond the root; steps: messages from this one to it, itself not counted, and their scores
-    jumps, left = [jump], None
-    while True:
-        now = jump.filter("above is not null").count()
-        if now == 0 or now == left:
-            break
+    # jump: the ancestor 2^k steps above, null beyond the root; steps: messages from this one to it, itself not counted, and
+    # their scores. Messages that have reached their root are done, and only looked up by others.
+    done = [jump.filter("above is null")]
+    jump = jump.filter("above is not null")
+    jumps, left = [], None
+    while (now := jump.count()) and now != left:
         left = now
-        a, b = jump.alias("a"), jump.select("tree", F.col("node").alias("at"), F.col("above").alias("further"), F.col("steps").alias("more"), F.col("score").alias("gain")).alias("b")
-        jump = a.join(b, same("a", "b") & (F.col("a.above") == F.col("b.at")), "left").select(
-            "a.tree", "a.node", F.col("b.further").alias("above"), (F.col("a.steps") + F.coalesce("b.more", F.lit(0))).alias("steps"), (F.col("a.score") + F.coalesce("b.gain", F.lit(0.0))).alias("score")
-        )
-        jump = written(jump, "jump")
         jumps.append(jump)
+        met = jump.select("tree", "node", "above", "steps", "score")
+        for d in done:
+            met = met.union(d.select("tree", "node", "above", "steps", "score"))
+        b = met.select("tree", F.col("node").alias("at"), F.col("above").alias("further"), F.col("steps").alias("more"), F.col("score").alias("gain")).alias("b")
+        step = jump.alias("a").join(b, same("a", "b") & (F.col("a.above") == F.col("b.at"))).select(
+            "a.tree", "a.node", F.col("b.further").alias("above"), (F.col("a.steps") + F.col("b.more")).alias("steps"), (F.col("a.score") + F.col("b.gain")).alias("score")
+        )
+        step = written(step, "jump")
+        done.append(step.filter("above is null"))
+        jump = step.filter("above is not null")
     parents = own.filter("parent is not null").select("tree", F.col("parent").alias("at")).distinct()
-    whole = jump.filter("above is null")
+    whole = done[0]
+    for d in done[1:]:
+        whole = whole.union(d)
     leaves = whole.alias("w").join(parents.alias("p"), same("w", "p") & (F.col("w.node") == F.col("p.at")), "left_anti")
     if branches is not None:
         order = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), F.desc("steps"), "node")
