@@ -19,6 +19,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,31 @@ CAPACITY = 2048
 END_ID = 0
 
 
+class Words(dict):
+    """The ids of words met, as bytes."""
+
+    def __init__(self, vocabulary: str):
+        self.encode = tokenizer(vocabulary).encode
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        return found
+
+    def forget(self) -> None:
+        """Beyond CACHE words keep the short ones, which come again most, and beyond twice as many none."""
+        if len(self) > CACHE:
+            kept = {w: x for w, x in self.items() if len(w) <= 8}
+            self.clear()
+            if len(kept) < CACHE // 2:
+                self.update(kept)
+
+
+@lru_cache(maxsize=2)
+def words_met(vocabulary: str) -> Words:
+    """What a worker has met, over all its tasks."""
+    return Words(vocabulary)
+
+
 def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of each text: its id, piece (from 0), start (ids before it), length, and ids (little-endian unsigned
     32-bit numbers). vocabulary: a .json file of a tokenizer that drops white space. No shuffle."""
@@ -43,24 +69,20 @@ def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, known = tokenizer(vocabulary), {}
+        known = words_met(vocabulary)
+        get = known.__getitem__
         for batch in batches:
             keys, texts = batch.column("id"), batch.column("text").to_pylist()
             for a, b in batches_of(texts):
-                split = [words(x) for x in texts[a:b]]
-                if len(known) > CACHE:
-                    known.clear()
-                new = list(set().union(*split) - known.keys())
-                for word, found in zip(new, made.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[word] = array("I", found.ids).tobytes()
-                get, rows, pieces, starts, ids = known.__getitem__, [], [], [], []
-                for i, parts in enumerate(split, a):
-                    whole = b"".join(map(get, parts)) + end
+                rows, pieces, starts, ids = [], [], [], []
+                for i, text in enumerate(texts[a:b], a):
+                    whole = b"".join(map(get, words(text))) + end
                     for piece, at in enumerate(range(0, len(whole), width)):
                         rows.append(i)
                         pieces.append(piece)
                         starts.append(at // 4)
                         ids.append(whole[at : at + width])
+                known.forget()
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["id", "piece", "start", "length", "ids"],

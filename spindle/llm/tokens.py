@@ -29,7 +29,7 @@ PIECES = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 WORDS = re.compile(f"[^{SPACES}]+")
 
 #: Entries of a task's table of pieces it has met; beyond this it starts anew, which changes no result.
-CACHE = 400_000
+CACHE = 500_000
 
 
 def vocabulary_path(name: str) -> str:
