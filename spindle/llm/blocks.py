@@ -5,14 +5,17 @@ codes of its words, and the block's distinct words, dealt into buckets by a hash
 a block cross the network, packed as one row per block and bucket. So a word that is in all texts is one entry per
 block, and one bucket gets no more of it than there are blocks. A task that holds a bucket sees each word of the
 corpus that falls into it, gives it its value once, and sends the values back in the order in which the words came;
-the block's codes then pick the values by position.
+the block's codes then pick the values by position. Words that a block has often have small codes, which pack best.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +23,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import written
-
 #: Characters in a block; a bound on a task's memory.
-BLOCK = 12_000_000
+BLOCK = 8_000_000
 #: Rows of a batch that are Python objects at a time.
 ROWS = 256
 #: Bucket number of the row that holds a block's codes.
 CODES = -1
-BUCKETS_PER_BLOCK_SHIFT = 20
+#: Blocks of a task, as a power of two.
+BLOCKS_OF_TASK = 20
+
+
+def release() -> None:
+    """Give a task's memory back, as workers live on after it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -72,12 +81,18 @@ def split_blocks(
     id_col: str,
     text_col: str,
     flag: str | None = None,
+    codes: bool = True,
+    words: bool = True,
 ) -> DataFrame:
-    """A written table (block, bucket, ids, sizes, data, more).
+    """Rows (block, bucket, ids, sizes, data, more) of codes, of words, or of both.
+
+    bucket CODES: ids of the block's texts, sizes (words of each text; words of each bucket; checks of each), data (codes
+    of all words), more (the flags, if a boolean column is named). Other buckets: data (the words, the most frequent of
+    the block first), more (how often each is in texts whose flag is set; the check). A word's code is its place in its
+    bucket times the number of buckets, plus its bucket.
 
-    bucket CODES: ids of the block's texts, sizes (words of each text), data (codes of all words), more (the flags,
-    if a boolean column is named). Other buckets: data (the words, in order of their codes), more (how often each is
-    in texts whose flag is set). A block's codes number its words bucket by bucket.
+    Where codes and words are taken in two passes over docs, both must see the same rows in the same order in each
+    partition, as of a table; the checks tell if they don't.
     """
     buckets = buckets_of(docs)
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)).alias("flag"))
@@ -86,47 +101,53 @@ def split_blocks(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << BUCKETS_PER_BLOCK_SHIFT
+        base = TaskContext.get().partitionId() << BLOCKS_OF_TASK
         id_type = None
 
-        def rows(ids: list, flags: list[bool], codes: list[np.ndarray], known: dict[str | bytes, int], block: int) -> pa.RecordBatch:
-            words = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in known]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
-            order = np.argsort(bucket, kind="stable")
-            renumbered = np.empty(len(words), np.int32)
-            renumbered[order] = np.arange(len(words), dtype=np.int32)
-            sizes = np.fromiter(map(len, codes), np.int32, len(codes))
-            flat = renumbered[np.concatenate(codes)] if len(words) else np.empty(0, np.int32)
-            counts = np.bincount(flat[np.repeat(np.array(flags, bool), sizes)], minlength=len(words)).astype(np.int32)
+        def rows(ids: list, flags: list[bool], of_texts: list[np.ndarray], known: dict[str | bytes, int], block: int) -> pa.RecordBatch:
+            found = [w if isinstance(w, bytes) else w.encode("utf-8", "surrogatepass") for w in known]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in found), np.int32, len(found))
+            sizes = np.fromiter(map(len, of_texts), np.int32, len(of_texts))
+            flat = np.concatenate(of_texts) if len(found) else np.empty(0, np.int32)
+            order = np.lexsort((-np.bincount(flat, minlength=len(found)), bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             there = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-            data = [packed(flat)] + [pack_words([words[i] for i in order[edges[b] : edges[b + 1]]]) for b in there]
-            more = [packed(np.array(flags, np.int32))] + [packed(counts[edges[b] : edges[b + 1]]) for b in there]
-            n = len(data)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([base + block] * n, pa.int64()), pa.array([CODES, *there], pa.int32()), pa.array([ids] + [None] * (n - 1), pa.list_(id_type)), pa.array([packed(sizes)] + [None] * (n - 1), pa.binary()), pa.array(data, pa.binary()), pa.array(more, pa.binary())],
-                ["block", "bucket", "ids", "sizes", "data", "more"],
-            )
-
-        block, size, ids, flags, codes = 0, 0, [], [], []
+            shares = {b: [found[i] for i in order[edges[b] : edges[b + 1]]] for b in there}
+            checks = np.array([zlib.crc32(b"".join(shares.get(b, ()))) for b in range(buckets)], "<u4").view("<i4")
+            out: list[tuple] = []
+            if codes:
+                renumbered = np.empty(len(found), np.int32)
+                renumbered[order] = (np.arange(len(found)) - np.repeat(edges[:-1], np.diff(edges))) * buckets + bucket[order]
+                out.append((CODES, ids, packed(sizes, np.diff(edges), checks), packed(renumbered[flat]), packed(np.array(flags, np.int32))))
+            if words:
+                counts = np.bincount(flat[np.repeat(np.array(flags, bool), sizes)], minlength=len(found))[order]
+                out += [(b, None, None, pack_words(shares[b]), packed(counts[edges[b] : edges[b + 1]], checks[b : b + 1])) for b in there]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.int32(), pa.list_(id_type), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([base + block] * len(out), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["block", "bucket", "ids", "sizes", "data", "more"])
+
+        block, size, ids, flags, of_texts = 0, 0, [], [], []
         known: dict[str | bytes, int] = defaultdict()
         known.default_factory = known.__len__
         for batch in batches:
             id_type = batch.schema.field("id").type
             for key, text, set_ in (x for a in range(0, batch.num_rows, ROWS) for x in zip(*(batch.slice(a, ROWS).column(i).to_pylist() for i in range(3)), strict=True)):
                 if size and size + len(text) > BLOCK:
-                    yield rows(ids, flags, codes, known, block)
-                    block, size, ids, flags, codes = block + 1, 0, [], [], []
+                    yield rows(ids, flags, of_texts, known, block)
+                    block, size, ids, flags, of_texts = block + 1, 0, [], [], []
                     known.clear()
-                words = words_of(text)
-                codes.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                    release()
+                split = words_of(text)
+                of_texts.append(np.fromiter(map(known.__getitem__, split), np.int32, len(split)))
                 ids.append(key)
                 flags.append(set_)
                 size += len(text)
         if ids:
-            yield rows(ids, flags, codes, known, block)
+            yield rows(ids, flags, of_texts, known, block)
+        del ids, flags, of_texts, known
+        release()
 
-    return written(picked.mapInArrow(run, f"block bigint, bucket int, ids array<{kind}>, sizes binary, data binary, more binary"), "blocks")
+    return picked.mapInArrow(run, f"block bigint, bucket int, ids array<{kind}>, sizes binary, data binary, more binary")
 
 
 def words_by_bucket(blocks: DataFrame) -> DataFrame:
@@ -141,18 +162,32 @@ def with_values(blocks: DataFrame, values: DataFrame) -> DataFrame:
     return codes.union(got).repartition(buckets_of(blocks), "block").sortWithinPartitions("block", "bucket")
 
 
-def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """From with_values: ids, sizes, codes, flags and the values' rows of each block."""
-    head, values = None, []
+@dataclass
+class Block:
+    """A block's texts: their ids, sizes and flags, the place of each of their words in its values, and the values' rows."""
+
+    ids: pa.Array
+    sizes: np.ndarray
+    flags: np.ndarray
+    places: np.ndarray
+    checks: list[int]
+    values: list[bytes]
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    """From with_values, block by block."""
+    head = None
     for batch in batches:
         for i in range(batch.num_rows):
             if batch.column("bucket")[i].as_py() == CODES:
                 if head is not None:
-                    yield (*head, values)
-                ids = batch.column("ids").slice(i, 1).flatten()
-                data = [unpacked(batch.column(c)[i].as_py())[0] for c in ("sizes", "data", "more")]
-                head, values = (ids, *data), []
+                    yield head
+                sizes, of_bucket, checks = unpacked(batch.column("sizes")[i].as_py())
+                codes, flags = (unpacked(batch.column(c)[i].as_py())[0] for c in ("data", "more"))
+                starts = np.cumsum(of_bucket) - of_bucket
+                places = (starts[codes % len(of_bucket)] + codes // len(of_bucket)).astype(np.int32)
+                head = Block(batch.column("ids").slice(i, 1).flatten(), sizes, flags.astype(bool), places, checks[of_bucket > 0].tolist(), [])
             else:
-                values.append(batch.column("data")[i].as_py())
+                head.values.append(batch.column("data")[i].as_py())
     if head is not None:
-        yield (*head, values)
+        yield head

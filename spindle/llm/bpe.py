@@ -1,7 +1,8 @@
 """Byte-pair encoding by a table of distinct words, and decoding through an id-to-piece join.
 
 Texts are split where white space begins, or punctuation after a letter; these words tokenize alone as in their text. Tasks that each hold a
-share of the words encode each distinct word once, and the ids are joined back by position (see `blocks`). Decoding
+share of the words encode each distinct word once, and the ids are joined back by position (see `blocks`). The texts
+are split twice, once for their words and once for their codes, which is cheaper than to keep both. Decoding
 joins each id with its piece; that table has as many rows as the vocabulary, so every executor gets it.
 
 Defined results: a null text is empty and has no ids; null ids, and lists of them, decode to nothing, as unknown ids do;
@@ -25,12 +26,12 @@ from spindle.llm.common import table
 from spindle.llm.tokens import pieces, tokenizer, vocabulary_path
 
 #: Ids in a batch of results.
-BATCH = 2_000_000
+BATCH = 1_000_000
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of each row of docs and `ids`, the tokens of its text. vocabulary: a .json file of a byte-level tokenizer."""
-    blocks = B.split_blocks(docs, pieces, id_col, text_col)
+    words = B.split_blocks(docs, pieces, id_col, text_col, codes=False)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,16 +43,22 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 for word, found in zip(new, made.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
                     known[word] = array("i", found.ids).tobytes()
                 ids = [known[w] for w in words]
-                data = B.packed(np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids)), np.frombuffer(b"".join(ids), "<i4"))
+                check = B.unpacked(batch.column("more")[i].as_py())[1]
+                data = B.packed(np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids)), np.frombuffer(b"".join(ids), "<i4"), check)
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), batch.column("bucket").slice(i, 1), pa.array([data], pa.binary())], ["block", "bucket", "data"])
+        known.clear()
+        B.release()
 
-    values = B.words_by_bucket(blocks).mapInArrow(encode_words, "block bigint, bucket int, data binary")
+    values = B.words_by_bucket(words).mapInArrow(encode_words, "block bigint, bucket int, data binary")
 
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, sizes, codes, _, rows in B.each_block(batches):
-            parts = [B.unpacked(x) for x in rows]
+        for block in B.each_block(batches):
+            parts = [B.unpacked(x) for x in block.values]
+            if [int(x[2][0]) for x in parts] != block.checks:
+                raise ValueError("the texts changed between two passes over them; write them to a table first")
             lengths = np.concatenate([x[0] for x in parts]) if parts else np.empty(0, np.int32)
             ids = np.concatenate([x[1] for x in parts]) if parts else np.empty(0, np.int32)
+            sizes, codes = block.sizes, block.places
             del parts
             starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
             of_words = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(ids, pa.int32()))
@@ -61,10 +68,12 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             while a < len(sizes):
                 b = max(a + 1, int(np.searchsorted(tokens, tokens[a] + BATCH, side="right")) - 1)
                 taken = of_words.take(pa.array(codes[words[a] : words[b]])).flatten()
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.ListArray.from_arrays(pa.array((tokens[a : b + 1] - tokens[a]).astype(np.int32)), taken)], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([block.ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array((tokens[a : b + 1] - tokens[a]).astype(np.int32)), taken)], ["id", "ids"])
                 a = b
+            B.release()
 
-    return B.with_values(blocks, values).mapInArrow(join_back, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    codes = B.split_blocks(docs, pieces, id_col, text_col, words=False)
+    return B.with_values(codes, values).mapInArrow(join_back, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def byte_alphabet() -> dict[str, int]:
