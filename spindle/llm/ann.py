@@ -2,15 +2,16 @@
 
 Centroids come from a bounded sample, halved again and again, so that lists are balanced. They are searched through an
 in-memory graph of neighbours: a walk goes on from every centroid that is within a ratio of the nearest one's distance.
-A vector goes to all lists within REPLICAS of its nearest (those at a boundary to several), a query to all within LISTS.
+A vector goes to all lists within REPLICAS of its nearest (those at a boundary to several), a query to all within a ratio
+that the sample sets: the least one that would find RECALL of the nearest of ASKED of its vectors.
 Lists beyond SHARD vectors are dealt into shards by vector id, and their queries go to every shard, so a list of any
 size is searched whole, by many tasks. Distances are then computed exactly, in double precision.
 
 Of equal vectors, only the smallest ids can be among the nearest, so no more than one over the number wanted are kept
 of each; that changes no result.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most
-take no part; rows that repeat an id with the same vector count once, and all rows with a query's id are its own; equal
+Defined results: vectors that are null, zero, hold null or non-finite components, have another length than most, or
+no id take no part; rows that repeat an id with the same vector count once, and all rows with a query's id are its own; equal
 distances go to the smaller id; with fewer candidates than wanted all are returned; an empty table gives an empty
 result. Only the named columns are read, so other columns can have any name.
 """
@@ -30,7 +31,7 @@ from spindle.llm.common import table, written
 SAMPLE, TARGET = 20_000, 256
 #: Centroids at most; they and their graph are sent to every executor.
 MOST = 4_096
-REPLICAS, LISTS = 1.02, 1.16
+REPLICAS, RECALL, ASKED = 1.02, 0.98, 256
 #: Neighbours of a centroid in the graph, and nearest ones that are walked on from at least.
 DEGREE, BEAM = 24, 8
 SHARD = 4_096
@@ -61,6 +62,19 @@ class Centroids:
             parts = halves
         return cls(np.stack([sample[p].mean(0) for p in parts]))
 
+    def ratio(self, sample: np.ndarray, wanted: int, recall: float) -> float:
+        """The least ratio at which queries meet that share of their nearest in the sample. All vectors lie closer
+        together than the sample's, so they need no larger one."""
+        asked = sample[:: max(1, len(sample) // ASKED)]
+        between = (asked**2).sum(1)[:, None] + (sample**2).sum(1) - 2 * asked @ sample.T
+        near = np.argpartition(between, min(wanted, len(sample) - 1), 1)[:, : wanted + 1].ravel()
+        to_lists = np.sqrt(((asked[:, None] - self.points) ** 2).sum(2)) if len(self.points) <= 64 else np.sqrt(np.maximum((asked**2).sum(1)[:, None] + self.squares - 2 * asked @ self.points.T, 0))
+        to_lists /= np.maximum(to_lists.min(1, keepdims=True), 1e-300)
+        row, cell = self.within(sample[near], REPLICAS)
+        needed = np.full(len(near), np.inf)
+        np.minimum.at(needed, row, to_lists[row // (len(near) // len(asked)), cell])
+        return float(np.quantile(needed, recall)) * (1 + 1e-9)
+
     def distances(self, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         out = np.empty(len(rows))
         for a in range(0, len(rows), 1 << 16):
@@ -101,11 +115,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def search(vectors: DataFrame, queries: Column, wanted: int = 10, lists_ratio: float = LISTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: Column, wanted: int = 10, lists_ratio: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of all other rows for the rows that `queries` picks."""
     spark = vectors.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.filter(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
     sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if sizes is None:
@@ -114,7 +128,9 @@ def search(vectors: DataFrame, queries: Column, wanted: int = 10, lists_ratio: f
     n = sizes["count"]
     lists = min(MOST, 1 << max(0, round(np.log2(n / TARGET))))
     sample = rows.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
-    sent = spark.sparkContext.broadcast(Centroids.fit(matrix(sample), min(lists, 1 << int(np.log2(len(sample))))))
+    fitted = Centroids.fit(matrix(sample), min(lists, 1 << int(np.log2(len(sample)))))
+    lists_ratio = lists_ratio or fitted.ratio(matrix(sample), wanted, RECALL)
+    sent = spark.sparkContext.broadcast(fitted)
 
     def dealt(ratio: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
