@@ -130,18 +130,21 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     df = df.withColumns({"n_words": _count(F.col("_words"))}).withColumns({"_packed": _repeated_windows()}).withColumns({"_starts": _flagged()})
-    return df.withColumns(
-        {
-            "word_chars": F.length(_without(body, " \t\n\x0b\x0c\r")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
-            "n_lines": _count(F.col("_lines")),
-            "n_dup_lines": _count(F.col("_lines")) - _count(F.array_distinct("_lines")),
-            "n_repeat_words": _covered(),
-            "n_stop_words": _count(F.filter("_words", lambda w: F.lower(F.regexp_replace(w, EDGES, "")).isin(*dict.fromkeys(STOP_WORDS)))),
-            "n_upper": (F.length(body) - F.length(F.regexp_replace(body, LETTERS_UP, ""))).cast("long"),
-            "n_marks": (F.length(body) - F.length(_without(body, "!?"))).cast("long"),
-        }
-    ).drop("_words", "_lines", "_packed", "_starts")
+    counts = {
+        "n_words": F.col("n_words"),
+        "word_chars": F.length(_without(body, " \t\n\x0b\x0c\r")).cast("long"),
+        "n_symbols": (F.length(body) - F.length(_without(body, SYMBOLS))).cast("long"),
+        "n_lines": _count(F.col("_lines")),
+        "n_dup_lines": _count(F.col("_lines")) - _count(F.array_distinct("_lines")),
+        "n_repeat_words": _covered(),
+        "n_stop_words": _count(F.filter("_words", lambda w: F.lower(F.regexp_replace(w, EDGES, "")).isin(*dict.fromkeys(STOP_WORDS)))),
+        "n_upper": (F.length(body) - F.length(F.regexp_replace(body, LETTERS_UP, ""))).cast("long"),
+        "n_marks": (F.length(body) - F.length(_without(body, "!?"))).cast("long"),
+    }
+    # a filter on a count would be pushed below the projections, each of its many references expanded; not below a generator
+    whole = df.withColumn("_counts", F.explode_outer(F.array(F.struct(*[c.alias(name) for name, c in counts.items()]))))
+    kept = [c for c in docs.columns if c not in counts]
+    return whole.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"_counts.{name}").alias(name) for name in counts])
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
