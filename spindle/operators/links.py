@@ -25,25 +25,23 @@ def shells(refs: DataFrame, components: DataFrame) -> DataFrame:
     return missing.select("name", F.lit("component").alias("comp_type"), F.lit("").alias("jsx_snippet"), F.lit(0).cast("bigint").alias("occurrence"), F.lit("").alias("classes"))
 
 
-def link_values(styles: DataFrame, tokens: DataFrame, shortest: int = 4) -> DataFrame:
-    """(id, token_id): the token equal to a style's value, without regard to case and blanks around it; else the first one, of so
-    many letters at least, that the value contains. styles: (id, value); tokens: (token_id, value, seq), a bounded table
-    per document.
+def link_values(styles: DataFrame, tokens: DataFrame, shortest: int = 4, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., id, token_id): the token equal to a style's value, without regard to case and blanks around it; else the first
+    one, of so many letters at least, that the value contains. styles: (by..., id, value); tokens: (by..., token_id, value, seq).
 
     Distinct values are linked, not styles. Equal ones meet in a hash join. For the rest, a token inside a value begins
     with some `shortest` letters of it, so both sides meet on those, and `contains` is only checked there.
     """
-    trimmed = F.trim(F.lower("value"))
-    values = styles.select(trimmed.alias("v")).distinct()
-    known = tokens.select("token_id", "seq", trimmed.alias("t"))
-    first = known.groupBy("t").agg(F.min(F.struct("seq", "token_id")).alias("x"))
-    equal = values.join(first, F.col("v") == F.col("t")).select("v", F.col("x.token_id").alias("token_id"))
-    rest = values.join(equal.select("v"), "v", "left_anti").filter(F.length("v") >= shortest)
+    trimmed, of = F.trim(F.lower("value")), list(by)
+    values = styles.select(*of, trimmed.alias("v")).distinct()
+    first = tokens.select(*of, "token_id", "seq", trimmed.alias("v")).groupBy(*of, "v").agg(F.min(F.struct("seq", "token_id")).alias("x"))
+    equal = values.join(first, [*of, "v"]).select(*of, "v", F.col("x.token_id").alias("token_id"))
+    rest = values.join(equal.select(*of, "v"), [*of, "v"], "left_anti").filter(F.length("v") >= shortest)
     starts = F.transform(F.sequence(F.lit(1), F.length("v") - (shortest - 1)), lambda i: F.substr("v", i, F.lit(shortest)))
-    grams = rest.select("v", F.explode(F.array_distinct(starts)).alias("gram"))
-    long = first.filter(F.length("t") >= shortest).withColumn("gram", F.substring("t", 1, shortest))
-    inside = grams.join(long, "gram").filter(F.col("v").contains(F.col("t"))).groupBy("v").agg(F.min("x").alias("x")).select("v", F.col("x.token_id").alias("token_id"))
-    return styles.select("id", trimmed.alias("v")).join(equal.unionByName(inside), "v").select("id", "token_id")
+    grams = rest.select(*of, "v", F.explode(F.array_distinct(starts)).alias("gram"))
+    long = first.filter(F.length("v") >= shortest).select(*of, F.col("v").alias("t"), "x", F.substring("v", 1, shortest).alias("gram"))
+    inside = grams.join(long, [*of, "gram"]).filter(F.col("v").contains(F.col("t"))).groupBy(*of, "v").agg(F.min("x").alias("x")).select(*of, "v", F.col("x.token_id").alias("token_id"))
+    return styles.select(*of, "id", trimmed.alias("v")).join(equal.unionByName(inside), [*of, "v"]).select(*of, "id", "token_id")
 
 
 def clip_spans(spans: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
