@@ -9,6 +9,7 @@ from spindle.functions import lexer
 
 # How many of each are kept.
 MOST_STYLES, MOST_INTERACTIONS, MOST_TEXTS, MOST_CLASSES, MOST_PROPS, SNIPPET = 40, 15, 30, 10, 30, 8_000
+PADDED, MOST_PADDED = 16, 8
 # Names that are no components.
 INTERNALS = frozenset(
     "Fragment Suspense StrictMode Provider Router Switch Route Redirect ErrorBoundary Component PureComponent React useState useEffect useRef useCallback useMemo "
@@ -211,18 +212,52 @@ def sanitized(markup: str) -> str:
     return markup
 
 
+def padded_parts(markup: str) -> list[tuple[str, str, str]]:
+    """Parts of markup without section comments: widely padded divisions that don't overlap the one before, the first ones."""
+    parts, end = [], None
+    for m in re.finditer(r"""style=\{\{[^}]*(?:padding|margin)\s*:\s*["']?(\d+)px""", markup):
+        start = markup.rfind("<div", 0, m.start())
+        if int(m[1]) < PADDED or start < 0 or (end is not None and start <= end - 200):
+            continue
+        closed = markup.find("</div>", m.start())
+        end = closed + len("</div>") if closed >= 0 else m.start() + 4_000
+        part = markup[start:end]
+        label = next((x.strip() for x in TEXTS[-1][1].findall(part) if len(x.strip()) > 3), f"Section{len(parts) + 1}")
+        parts.append((label, part, "structural"))
+    return parts[:MOST_PADDED]
+
+
 def sections(screen: str, markup: str) -> list[dict]:
     """Parts of a screen between its section comments; those with a reference, two texts or three styles."""
     marks = list(SECTION_COMMENT.finditer(markup))
+    parts = [(m[1].split(":")[0].strip()[:60].rstrip(), markup[m.end() : after.start() if after else m.end() + 4_000], "comment") for m, after in zip(marks, [*marks[1:], None], strict=False)]
     rows = []
-    for m, after in zip(marks, [*marks[1:], None], strict=False):
-        part = markup[m.end() : after.start() if after else m.end() + 4_000]
+    for label, part, how in parts or padded_parts(markup):
         own = {p: v for literal in lexer.style_literals(part) for p, v in lexer.pairs(literal) if v not in BLANK}
         words = list(dict.fromkeys(t["content"] for t in texts(screen, part)))
         refs = references(screen, part)
         if refs or len(words) >= 2 or len(own) >= 3:
-            label = m[1].split(":")[0].strip()
-            rows.append({"id": entity_id("sec", f"{screen}_{label}"), "screen": screen, "name": label, "styles": list(own.items()), "components": refs, "texts": words, "jsx_snippet": part.strip()[:SNIPPET], "detection_method": "comment"})
+            rows.append({"id": entity_id("sec", f"{screen}_{label}"), "screen": screen, "name": label, "styles": list(own.items()), "components": refs, "texts": words, "jsx_snippet": part.strip()[:SNIPPET], "detection_method": how})
+    return first_of_each(rows)
+
+
+# What kind of text a key of a constant holds.
+TEXT_KEYS = {"title": "heading", "heading": "heading", "description": "description", "subtitle": "description", "hint": "description", "placeholder": "placeholder"}
+
+
+def constant_texts(js: str, declared: list[lexer.Function]) -> list[dict]:
+    """Words to be read in constant arrays of objects outside all functions."""
+    rows = []
+    for m in re.finditer(r"\bconst\s+([A-Z][A-Z0-9_]*)\s*=\s*\[", js):
+        end = lexer.closing(js, m.end() - 1)
+        if end is None or any(f.start <= m.start() < f.end for f in declared):
+            continue
+        for element in (x.strip() for x in lexer.split(js[m.end() : end - 1])):
+            for part in lexer.split(element[1:-1]) if element[:1] == "{" and element[-1:] == "}" else ():
+                key, _, value = (x.strip() for x in part.partition(":"))
+                content = lexer.unquoted(value).strip()
+                if content != value and plausible(content):
+                    rows.append({"id": entity_id("txt", f"{m[1]}_{content}"), "content": content, "text_type": TEXT_KEYS.get(key, "label"), "source": m[1], "element": ""})
     return first_of_each(rows)
 
 
@@ -242,6 +277,7 @@ def component(name: str, code: str, constants: dict[str, str], colours: dict[str
         "refs": references(name, code),
         "props": props(name, code),
         "icons": pictures,
+        "tags": sorted(set(re.findall(r"<([a-z][a-z0-9]*)\b", code))),
         "sections": sections(name, markup) if is_screen(name) else [],
     }
 

@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindle import model
 from spindle.functions import components as C
+from spindle.functions import lexer, utilities
 from spindle.functions.columns import entity_id
 from spindle.operators import links, markup, tokens
 from spindle.sources import html as H
@@ -24,7 +25,7 @@ EXTRACTED = (
     f"doc string, place int, name string, comp_type string, screen boolean, jsx_snippet string, classes string, styles {_S}, "
     "interactions array<struct<id:string,trigger:string,css_prop:string,from_val:string,to_val:string,transition:string>>, "
     "texts array<struct<id:string,content:string,text_type:string,source:string,element:string>>, refs array<string>, "
-    "props array<struct<id:string,component_name:string,prop_name:string,default_value:string>>, icons array<struct<id:string,markup:string>>, "
+    "tags array<string>, props array<struct<id:string,component_name:string,prop_name:string,default_value:string>>, icons array<struct<id:string,markup:string>>, "
     "sections array<struct<id:string,screen:string,name:string,styles:array<struct<property:string,value:string>>,components:array<string>,texts:array<string>,jsx_snippet:string,detection_method:string>>"
 )
 Keep = Callable[[DataFrame], DataFrame]
@@ -48,6 +49,20 @@ def extracted(sources: DataFrame) -> DataFrame:
     return sources.select("doc", "js").mapInArrow(run, EXTRACTED)
 
 
+def module_texts(sources: DataFrame) -> DataFrame:
+    """(doc, id, content, text_type, source, element) of constants outside functions. They hang on no component."""
+    schema = pa.schema([(n, pa.string()) for n in ("doc", "id", "content", "text_type", "source", "element")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, js in zip(batch.column("doc").to_pylist(), batch.column("js").to_pylist(), strict=True):
+                rows = [{"doc": doc, **t} for t in C.constant_texts(js or "", lexer.functions(js or ""))]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return sources.select("doc", "js").mapInArrow(run, "doc string, id string, content string, text_type string, source string, element string")
+
+
 def exploded(rows: DataFrame, column: str, order: tuple[str, ...] = ("place",)) -> DataFrame:
     """(doc, src, fields of the column's structs): the first row of each id, by the document's order."""
     each = rows.select("doc", F.col("name").alias("src"), *order, F.posexplode(column).alias("_k", "_x"))
@@ -63,8 +78,29 @@ def known(df: DataFrame, names: DataFrame, how: str, column: str = "dst") -> Dat
     return df.join(names.select("doc", F.col("name").alias(column)).distinct(), ["doc", column], how)
 
 
-def code_tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """Tables of documents whose components are declared in code."""
+def rule_styles(comps: DataFrame, css: DataFrame) -> DataFrame:
+    """(doc, src, id, element, state, property, value, place, _k): styles that components get from classes, the document's
+    own rules before the utility classes, and from states of the tags that they render, hover and focus. A class's style has
+    one id in a document, so the first component has it. css: (doc, css)."""
+    spark = comps.sparkSession
+    each = comps.select("doc", F.col("name").alias("src"), "place", F.posexplode(F.split("classes", " ")).alias("_n", "class")).filter("class <> ''")
+    own = tokens.class_rules(css).select("doc", "class", F.col("place").alias("_at"), "property", "value")
+    utility = spark.createDataFrame(utilities.table(), "class string, _at int, property string, value string")
+    ruled = each.join(own, ["doc", "class"])
+    others = each.join(own.select("doc", "class").distinct(), ["doc", "class"], "left_anti").join(utility, "class")
+    columns = ["doc", "src", "place", "_n", "class", "_at", "property", "value"]
+    by_class = ruled.select(*columns).unionByName(others.select(*columns)).select(
+        "doc", "src", entity_id("cls", F.concat_ws(":", "class", "property")).alias("id"), F.col("src").alias("element"), F.lit("default").alias("state"), "property", "value", "place", (1000 + F.col("_n") * 100 + F.col("_at")).alias("_k")
+    )
+    states = tokens.tag_states(css).filter(F.col("state").isin("hover", "focus"))
+    tags = comps.select("doc", F.col("name").alias("src"), "place", F.posexplode("tags").alias("_n", "tag")).join(states, ["doc", "tag"])
+    element = F.concat_ws(":", "src", "tag")
+    by_tag = tags.select("doc", "src", entity_id("st", F.concat_ws("_", element, "state", "property", "value")).alias("id"), element.alias("element"), "state", "property", "value", "place", (100_000 + F.col("_n")).alias("_k"))
+    return by_class.unionByName(by_tag)
+
+
+def code_tables(rows: DataFrame, css: DataFrame) -> dict[str, DataFrame]:
+    """Tables of documents whose components are declared in code. css: (doc, css)."""
     once = links.first_wins(rows, ["doc", "name"], [F.col("place")])
     times = rows.groupBy("doc", "name").agg(F.count(F.lit(1)).alias("occurrence"))
     screens, comps = once.filter("screen"), once.filter("not screen").join(times, ["doc", "name"])
@@ -76,7 +112,11 @@ def code_tables(rows: DataFrame) -> dict[str, DataFrame]:
     section_uses = known(of_sections, screens, "left_anti")
     shells = known(uses_component.select("doc", "dst").union(section_uses.select("doc", "dst")).distinct(), comps, "left_anti")
     counts = uses_component.groupBy("doc", F.col("src").alias("name")).agg(F.count(F.lit(1)).alias("component_count"))
-    styles, texts, acts, props = (exploded(once.filter("not screen"), c) for c in ("styles", "texts", "interactions", "props"))
+    texts, acts, props = (exploded(once.filter("not screen"), c) for c in ("texts", "interactions", "props"))
+    inline = comps.select("doc", F.col("name").alias("src"), "place", F.posexplode("styles").alias("_k", "_x")).select("doc", "src", "_x.*", "place", "_k")
+    order = [F.col("place"), F.col("_k"), F.col("id")]
+    capped = inline.unionByName(rule_styles(comps, css)).withColumn("_nth", F.row_number().over(Window.partitionBy("doc", "src").orderBy("_k", "id"))).filter((F.col("_nth") <= C.MOST_STYLES) | (F.col("_k") < 1000))
+    styles = links.first_wins(capped, ["doc", "id"], order).select("doc", "src", "id", "element", "state", "property", "value")
     nothing = F.lit("")
     return {
         "screens": screens.join(counts, ["doc", "name"], "left").select("doc", "name", F.coalesce("component_count", F.lit(0)).alias("component_count"), F.size("sections").cast("bigint").alias("sections_count"), "jsx_snippet"),
@@ -124,7 +164,9 @@ def build(documents: DataFrame, keep: Keep = lambda df: df.persist()) -> dict[st
     document is kept, so that it is read once for all tables."""
     sources = keep(H.sources(documents))
     plain = (F.col("format") == "plain_html") & ~F.col("js").rlike(DECLARES)
-    code = code_tables(keep(extracted(sources.filter(~plain))))
+    coded = sources.filter(~plain)
+    code = code_tables(keep(extracted(coded)), coded.select("doc", "css"))
+    code["texts"] = code["texts"].unionByName(module_texts(coded)).dropDuplicates(["doc", "id"])
     bare = plain_tables(sources.filter(plain).select("doc", F.col("markup").alias("html")), keep)
     tables = {t: reduce(lambda a, b: a.unionByName(b), [x[t] for x in (code, bare) if t in x]) for t in (*model.NODES, *model.EDGES) if t in code or t in bare}
     tables["tokens"] = tokens.extract(sources.select("doc", F.concat_ws("\n", "css", "js").alias("source")))

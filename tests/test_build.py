@@ -6,18 +6,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindle.functions import components as C
-from spindle.functions import dom, lexer
+from spindle.functions import dom, lexer, utilities
 from spindle.operators import build, checks, reads, tokens
 from spindle.sources import html as H
 from spindle.sources import store
 from spindle.streaming import incremental
 
 APP = """<!DOCTYPE html><html><head><title>Shop front</title><style>.card { padding: 12px; color: #ffb81c } input:focus { color: #ffb81c }</style></head><body><script>
+const MENU_ITEMS = [{ title: 'Opening hours', icon: Icon.x, key: 'some_key' }, { hint: "Call us" }];
 const C = { a: '#ffb81c', b: '#22c55e', c: '#60a5fa', d: '#a78bfa' };
 const base = { gap: '8px', color: 'red' };
 function PriceTag({ label, kind = 'plain', ...rest }) {
   const [hov, setHov] = useState(false);
-  return (<span className="badge big" style={{ color: C.a, padding: '12px' }} onMouseEnter={() => setHov(true)} onMouseLeave={() => setHov(false)}>Price label</span>);
+  return (<span className="badge card flex px-2" style={{ color: C.a, padding: '12px' }} onMouseEnter={() => setHov(true)} onMouseLeave={() => setHov(false)}>Price label</span>);
 }
 const CartItem = ({ item }) => (
   <div style={{ ...base, color: '#ffb81c', border: `1px ${x ? 'a' : 'b'}` }} onMouseEnter={e => { e.currentTarget.style.opacity = '0.5'; }} onMouseLeave={e => { e.currentTarget.style.opacity = '1'; }}>
@@ -66,7 +67,7 @@ def test_components_of_code():
     assert item["refs"] == ["PriceTag"] and home["refs"] == ["CartItem", "NavBar", "PriceTag"]
     assert "{[icon:" in item["jsx_snippet"] and item["icons"][0]["markup"].startswith("<svg")
     assert [s["name"] for s in home["sections"]] == ["Header", "Items"] and home["screen"]
-    assert tag["comp_type"] == "badge" and tag["classes"] == "badge big"
+    assert tag["comp_type"] == "badge" and tag["classes"] == "badge card flex px-2"
 
 
 def test_ids_are_the_first_digits_of_a_digest(spark):
@@ -108,6 +109,26 @@ def test_tables_of_a_build(spark, graph):
     assert [r["name"] for r in p.screens.collect()] == ["MyPlainSitePage"] and {r["name"] for r in p.components.collect()} >= {"Card"}
 
 
+def test_styles_of_classes_and_tags(spark, graph):
+    g = store.load(spark, graph, "app")
+    got = {(r["property"], r["value"], r["id"][:3]) for r in reads.hop(g.has_style, g.styles, "id", "component").filter("component = 'PriceTag'").collect()}
+    assert {("padding", "12px", "cls"), ("color", "#ffb81c", "cls"), ("display", "flex", "cls"), ("padding-left", "0.5rem", "cls"), ("padding-right", "0.5rem", "cls")} <= got
+    assert {(r["content"], r["text_type"], r["source"]) for r in g.texts.filter("source = 'MENU_ITEMS'").collect()} == {("Opening hours", "heading", "MENU_ITEMS"), ("Call us", "description", "MENU_ITEMS")}
+
+
+def test_utility_classes():
+    found = {}
+    for name, _, prop, value in utilities.table():
+        found.setdefault(name, []).append((prop, value))
+    assert found["p-2.5"] == [("padding", "0.625rem")] and found["w-96"] == [("width", "24rem")] and found["gap-0"] == [("gap", "0px")]
+    assert found["grid-cols-3"] == [("grid-template-columns", "repeat(3, minmax(0, 1fr))")] and len(found) > 700
+
+
+def test_padded_sections():
+    markup = '<div style={{ padding: "24px" }}>"Opening hours" "Closing time"<b/></div><div style={{ padding: "4px" }}><CartRow/></div><p/>'
+    assert [(s["name"], s["detection_method"]) for s in C.sections("HomePage", markup)] == [("Opening hours", "structural")]
+
+
 def test_reads_of_a_build(spark, graph):
     g = store.load(spark, graph, "app")
     assert [r["screen"] for r in reads.screens_using(g, "PriceTag").collect()] == ["HomePage"]
