@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.common import written
+from spindle.llm.common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,8 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         told = found.select(F.explode(F.array(F.struct(F.col("node").alias("node"), F.col("best").alias("best"), F.col("label").alias("old")), F.struct(F.col("label").alias("node"), F.col("best").alias("best"), none.alias("old")))).alias("x"))
         hooked = written(told.groupBy(F.col("x.node").alias("node")).agg(F.min("x.best").alias("label"), F.max("x.old").alias("old")), "hooked")
         above = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        labels = written(hooked.join(above, "label").select("node", F.col("root").alias("label"), (F.col("root") != F.col("old")).alias("moved")), "labels")
-        moved = labels.filter("moved").limit(1).count()
-        labels = labels.select("node", "label")
-        if not moved:
-            return labels
+        before, labels = labels, written(hooked.join(above, "label").select("node", F.col("root").alias("label"), (F.col("root") != F.col("old")).alias("moved")), "labels")
+        dropped(before, hooked)
+        if not labels.filter("moved").limit(1).count():
+            dropped(both)
+            return labels.drop("moved")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spindle.llm.common import table, written
+from spindle.llm.common import dropped, table, written
 from spindle.llm.tokens import CACHE, batches_of, tokenizer, vocabulary_path, words
 
 CAPACITY = 2048
@@ -166,6 +166,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     before = Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(of_task.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_task", "_length", "_before"), "bases")
     counts = {r[0]: r[1] for r in of_task.groupBy("_length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    dropped(of_task)
     steps, _ = best_fit(counts, capacity)
     plan = spark.sparkContext.broadcast(steps)
 

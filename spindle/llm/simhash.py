@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import table, written
+from spindle.llm.common import dropped, table, written
 from spindle.llm.components import components
 
 SEED = 42
@@ -150,8 +150,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(prints.groupBy("print").agg(F.min(id_col).alias("first")), "classes")
     labels = components(link_forest(classes.select("print")))
     labelled = written(classes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print")), "labelled")
+    dropped(classes)
     first = written(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "firsts")
     of_print = written(labelled.select("print", "label").join(first, "label").select("print", "component_id"), "of-print")
+    dropped(labelled, first)
     return prints.join(of_print, "print").select(id_col, "print", "component_id")
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm.common import table, written
+from spindle.llm.common import dropped, table, written
 from spindle.llm.tokens import CACHE
 
 #: Labelled rows that training takes at most.
@@ -208,7 +208,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     ranked = written(known.withColumn("_hash", F.xxhash64(F.lit("sample"), "doc_id")).orderBy("_hash").limit(sample), "sample-labels")
     # the texts of as many rows as `sample`: a bound on what is broadcast
     picked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ranked), "doc_id")
-    return written(picked.select("text", F.col("toxic").cast("double").alias("toxic"), F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)).cast("int").alias("part")), "sample")
+    rows = written(picked.select("text", F.col("toxic").cast("double").alias("toxic"), F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)).cast("int").alias("part")), "sample")
+    dropped(ranked)
+    return rows
 
 
 def doc_counts(texts: DataFrame, among: frozenset[str] | None) -> DataFrame:
@@ -272,6 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic"), batch.column("part")], ["x", "toxic", "part"])
 
     got = sorted((r[2], r[1], r[0]) for r in rows.mapInArrow(measure, "x array<double>, toxic double, part int").collect())
+    dropped(rows)
     part, y, x = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got]), np.array([r[2] for r in got]).reshape(-1, len(FEATURES))
     if len(np.unique(y)) < 2 or len(np.unique(part)) < 2:
         return Model(learned[-1], None, (np.zeros(1), np.zeros(1)), float(y.mean()) if len(y) else 0.0)
