@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -26,8 +27,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: What this process has written to the shared folder and not deleted yet.
+_made: dict[str, SparkSession] = {}
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that is deleted when the process ends; results that read it don't outlive that."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def forget() -> None:
+    """Delete everything that is left."""
+    for path in list(_made):
+        with contextlib.suppress(Exception):
+            _delete(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,9 +64,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that `written` wrote and nothing will read again."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.written_to)
 
 
 def text_or_empty(name: str = "text") -> Column:
