@@ -16,6 +16,7 @@ that has the name of a result is replaced.
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -141,7 +142,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     kept = pieces.drop("sequence_id", "offset")
     names = kept.columns
     at = names.index(length_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_rank", T.LongType())])
+    task_col, rank_col, own_length, before_col = (f"_{x}_{uuid.uuid4().hex[:8]}" for x in ("task", "rank", "length", "before"))
+    schema = T.StructType([*kept.schema.fields, T.StructField(task_col, T.IntegerType()), T.StructField(rank_col, T.LongType())])
 
     def rank_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -155,25 +157,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
             ranks = np.empty(len(lengths), np.int64)
             ranks[order] = np.arange(len(lengths)) - np.repeat(starts - seen[values], n)
             seen[values] += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), task, np.int32)), pa.array(ranks)], [*batch.schema.names, "_task", "_rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), task, np.int32)), pa.array(ranks)], [*batch.schema.names, task_col, rank_col])
 
     ranked = written(kept.mapInArrow(rank_in_task, schema), "pieces")
     fits = F.col(length_col).between(1, capacity)
-    of_task = ranked.filter(fits).groupBy("_task", F.col(length_col).cast("bigint").alias("_length")).agg(F.count("*").alias("_n"))
+    of_task = ranked.filter(fits).groupBy(task_col, F.col(length_col).cast("bigint").alias(own_length)).agg(F.count("*").alias("_n"))
     of_task = written(of_task, "ranks")
     from pyspark.sql import Window
 
-    before = Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(of_task.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_task", "_length", "_before"), "bases")
-    counts = {r[0]: r[1] for r in of_task.groupBy("_length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    before = Window.partitionBy(own_length).orderBy(task_col).rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(of_task.withColumn(before_col, F.coalesce(F.sum("_n").over(before), F.lit(0))).select(task_col, own_length, before_col), "bases")
+    counts = {r[0]: r[1] for r in of_task.groupBy(own_length).agg(F.sum("_n")).collect()}  # at most `capacity` rows
     dropped(of_task)
     steps, _ = best_fit(counts, capacity)
     plan = spark.sparkContext.broadcast(steps)
 
     placed = (
-        ranked.withColumn("_length", F.when(fits, F.col(length_col).cast("bigint")))
-        .join(bases, ["_task", "_length"], "left")
-        .select(*names, "_length", (F.col("_rank") + F.col("_before")).alias("_rank"))
+        ranked.withColumn(own_length, F.when(fits, F.col(length_col).cast("bigint")))
+        .join(bases, [task_col, own_length], "left")
+        .select(*[F.col(f"`{n}`") for n in names], own_length, (F.col(rank_col) + F.col(before_col)).alias(rank_col))
     )
     out = T.StructType([*kept.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

@@ -122,8 +122,9 @@ def _covered() -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts that rules use: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
     n_stop_words, n_upper, n_marks."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumns(
+    body = F.col("_text")
+    apart = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    df = apart.withColumns(
         {
             "_words": F.filter(F.split(body, WHITE), lambda w: w != ""),
             "_lines": F.filter(F.split(body, "\n"), lambda x: F.length(_without(x, " \t\n\x0b\x0c\r")) > 0),
@@ -143,8 +144,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     }
     # a filter on a count would be pushed below the projections, each of its many references expanded; not below a generator
     whole = df.withColumn("_counts", F.explode_outer(F.array(F.struct(*[c.alias(name) for name, c in counts.items()]))))
-    kept = [c for c in docs.columns if c not in counts]
-    return whole.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"_counts.{name}").alias(name) for name in counts])
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in counts]
+    return whole.select(*kept, *[F.col(f"_counts.{name}").alias(name) for name in counts])
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

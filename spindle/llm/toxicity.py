@@ -285,7 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1. Their other columns pass through."""
+    """docs with a score from 0 to 1. Their other columns pass through; one of the score's name is replaced."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     state: dict[str, Features] = {}

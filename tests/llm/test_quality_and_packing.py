@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spindle.llm import packing, quality, tokens
 
@@ -37,7 +38,8 @@ def brute(text):
 
 
 def test_counts_against_brute_force(spark):
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, n_words string")
+    df = spark.createDataFrame([(i, t, "clash", "a", "b", "c") for i, t in enumerate(TEXTS)], "doc_id bigint, text string, n_words string, _words string, _text string, `a.b` string")
+    assert {tuple(r) for r in quality.judged(df).select("_words", "_text", "`a.b`").collect()} == {("a", "b", "c")}
     got = {r["doc_id"]: r for r in quality.judged(df).collect()}
     for i, t in enumerate(TEXTS):
         g = got[i]
@@ -90,7 +92,8 @@ def check_places(rows, capacity):
 
 
 def test_lengths_without_a_place(spark):
-    df = spark.createDataFrame([(1, None), (2, 0), (3, -4), (4, 11), (5, 10), (6, 3)], "i int, length int")
+    df = spark.createDataFrame([(1, None), (2, 0), (3, -4), (4, 11), (5, 10), (6, 3)], "i int, length int").withColumn("_rank", F.lit("clash")).withColumn("_task", F.lit("clash"))
+    assert {tuple(r) for r in packing.pack(df, 10).select("_rank", "_task").collect()} == {("clash", "clash")}
     got = {r["i"]: (r["sequence_id"], r["offset"]) for r in packing.pack(df, 10).collect()}
     assert got[1] == got[2] == got[3] == got[4] == (None, None) and None not in got[5] + got[6]
 
