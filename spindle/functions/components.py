@@ -38,8 +38,11 @@ TEXTS = (
 )
 ALIAS = re.compile(r"\bconst\s+([A-Z][a-zA-Z0-9]{2,})\s*=\s*[a-zA-Z_$][\w$]*(?:\.[a-zA-Z_$][\w$]*)*\.([A-Z][a-zA-Z0-9]{2,})\s*;")
 SECTION_COMMENT = re.compile(r"\{/\*\s*[─━\-=*]{0,6}\s*(.{2,300}?)\s*[─━\-=*]{0,6}\s*\*/\}")
-SCREEN_SUFFIXES = ("Page", "Screen", "Dashboard", "View", "Detail")
-SIGN_IN = re.compile(r"^(?:Login|SignIn|SignUp|Register|Auth|ForgotPassword|ResetPassword)\w*Form$")
+# Endings of screens by kind, and how forms to sign in begin.
+SCREEN_ENDINGS = (("Page", "Screen", "Dashboard"), ("View",), ("Detail",))
+SIGN_IN = ("Login", "SignIn", "SignUp", "Register", "Auth")
+#: Tabs that a component shows by turns if it is a screen, whatever its name.
+TABS = 2
 # Words of names and the types that they tell, the last word of a name first.
 TYPES = (
     ("modal", "Modal Dialog Confirm Overlay"), ("drawer", "Drawer"), ("card", "Card"), ("button", "Btn Button"), ("badge", "Badge Tag Pill Chip"), ("row", "Row"),
@@ -60,8 +63,12 @@ def component_type(name: str) -> str:
     return "component"
 
 
-def is_screen(name: str) -> bool:
-    return name.endswith(SCREEN_SUFFIXES) or bool(SIGN_IN.match(name))
+def is_screen(name: str, code: str = "") -> bool:
+    """By its name, or as it shows two tabs or more on conditions."""
+    named = any(name.endswith(kind) and len(name) > min(map(len, kind)) for kind in SCREEN_ENDINGS)
+    form = name.endswith("Form") and name.startswith(SIGN_IN)
+    tabs = re.findall(r"\[conditional:[A-Za-z0-9]*Tab\]", sanitized(code)) if code.count("Tab") >= TABS else ()
+    return named or form or len(tabs) >= TABS
 
 
 def plausible(text: str) -> bool:
@@ -268,7 +275,7 @@ def component(name: str, code: str, constants: dict[str, str], colours: dict[str
     return {
         "name": name,
         "comp_type": component_type(name),
-        "screen": is_screen(name),
+        "screen": is_screen(name, code),
         "jsx_snippet": sanitized(markup)[:SNIPPET],
         "classes": " ".join(list(dict.fromkeys(c for found in CLASS.findall(code) for c in found.split()))[:MOST_CLASSES]),
         "styles": first_of_each([*styles(name, code, constants, colours), *states]),
@@ -278,7 +285,7 @@ def component(name: str, code: str, constants: dict[str, str], colours: dict[str
         "props": props(name, code),
         "icons": pictures,
         "tags": sorted(set(re.findall(r"<([a-z][a-z0-9]*)\b", code))),
-        "sections": sections(name, markup) if is_screen(name) else [],
+        "sections": sections(name, markup) if is_screen(name, code) else [],
     }
 
 

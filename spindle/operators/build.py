@@ -63,6 +63,21 @@ def module_texts(sources: DataFrame) -> DataFrame:
     return sources.select("doc", "js").mapInArrow(run, "doc string, id string, content string, text_type string, source string, element string")
 
 
+def palettes(sources: DataFrame) -> DataFrame:
+    """(doc, value, label): the names that a document's own palette gives its colours; of several for one, the smallest."""
+    schema = pa.schema([(n, pa.string()) for n in ("doc", "value", "label")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, js in zip(batch.column("doc").to_pylist(), batch.column("js").to_pylist(), strict=True):
+                rows = [{"doc": doc, "value": value, "label": name.partition(".")[2]} for name, value in C.palette(js or "").items()]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    found = sources.select("doc", "js").mapInArrow(run, "doc string, value string, label string")
+    return found.groupBy("doc", "value").agg(F.min("label").alias("label"))
+
+
 def exploded(rows: DataFrame, column: str, order: tuple[str, ...] = ("place",)) -> DataFrame:
     """(doc, src, fields of the column's structs): the first row of each id, by the document's order."""
     each = rows.select("doc", F.col("name").alias("src"), *order, F.posexplode(column).alias("_k", "_x"))
@@ -169,7 +184,7 @@ def build(documents: DataFrame, keep: Keep = lambda df: df.persist()) -> dict[st
     code["texts"] = code["texts"].unionByName(module_texts(coded)).dropDuplicates(["doc", "id"])
     bare = plain_tables(sources.filter(plain).select("doc", F.col("markup").alias("html")), keep)
     tables = {t: reduce(lambda a, b: a.unionByName(b), [x[t] for x in (code, bare) if t in x]) for t in (*model.NODES, *model.EDGES) if t in code or t in bare}
-    tables["tokens"] = tokens.extract(sources.select("doc", F.concat_ws("\n", "css", "js").alias("source")))
+    tables["tokens"] = tokens.extract(sources.select("doc", F.concat_ws("\n", "css", "js").alias("source")), palettes(coded))
     sections = tables["sections"]
     own = sections.select("doc", F.col("id").alias("src"), F.explode("styles").alias("property", "value"))
     styled = own.select("doc", "src", entity_id("sec", F.concat_ws("_", "src", "property")).alias("id"), F.col("src").alias("element"), F.lit("default").alias("state"), "property", "value")

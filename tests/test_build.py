@@ -70,6 +70,12 @@ def test_components_of_code():
     assert tag["comp_type"] == "badge" and tag["classes"] == "badge card flex px-2"
 
 
+def test_screens_by_name_and_by_tabs():
+    assert [n for n in ("HomePage", "Page", "LoginForm", "SearchForm", "CardView", "View", "Screen", "UserDetail", "Card") if C.is_screen(n)] == ["HomePage", "LoginForm", "CardView", "Screen", "UserDetail"]
+    tabs = "<div>{tab === 1 && <GeneralTab/>}{tab === 2 && <UsersTab x={1}/>}</div>"
+    assert C.is_screen("Editor", tabs) and not C.is_screen("Editor", tabs.replace("UsersTab", "Users"))
+
+
 def test_ids_are_the_first_digits_of_a_digest(spark):
     from spindle.functions.columns import entity_id
 
@@ -103,7 +109,7 @@ def test_tables_of_a_build(spark, graph):
     assert {(r["src"], r["dst"]) for r in g.contains.collect()} == {("CartItem", "PriceTag")}
     assert {(r["src"], r["dst"]) for r in g.uses_screen.collect()} == {("CardView", "HomePage")}
     amber = g.tokens.filter("value = '#ffb81c'").first()
-    assert amber["category"] == "color" and {r["src"] for r in g.uses_token.filter(F.col("dst") == amber["id"]).collect()} == {"PriceTag", "CartItem"}
+    assert (amber["category"], amber["label"]) == ("color", "a") and {r["src"] for r in g.uses_token.filter(F.col("dst") == amber["id"]).collect()} == {"PriceTag", "CartItem"}
     assert checks.duplicate_keys(g).count() == 0
     p = store.load(spark, graph, "plain")
     assert [r["name"] for r in p.screens.collect()] == ["MyPlainSitePage"] and {r["name"] for r in p.components.collect()} >= {"Card"}
