@@ -176,7 +176,7 @@ table_query(
 r AS (SELECT hint, name, CASE WHEN lower(name) = lower(hint) THEN 0 WHEN starts_with(lower(name), lower(hint)) THEN 1 WHEN ends_with(lower(name), lower(hint)) THEN 2
   WHEN contains(lower(name), lower(hint)) THEN 3 END AS k FROM h, n WHERE hint <> '')
 SELECT hint, name FROM (SELECT *, row_number() OVER (PARTITION BY hint ORDER BY k, name) AS x FROM r WHERE k IS NOT NULL) WHERE x = 1""",
-)(lambda t: reads.resolve(t("part").select(F.col("p_name").alias("name")), t("part").sparkSession.createDataFrame([(h,) for h in HINTS], "hint string")))
+)(lambda t: reads.resolve(t("part").select(F.col("p_name").alias("name")), list(HINTS)))
 
 _SCORE = "CASE WHEN lower({0}) = '{1}' THEN 100 WHEN starts_with(lower({0}), '{1}') THEN 80 WHEN ends_with(lower({0}), '{1}') THEN 60 WHEN contains(lower({0}), '{1}') THEN 40 ELSE 0 END"
 
