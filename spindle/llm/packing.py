@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spindle.llm.common import dropped, table, written
-from spindle.llm.tokens import CACHE, batches_of, tokenizer, vocabulary_path, words
+from spindle.llm.tokens import batches_of, tokenizer, vocabulary_path, words
 
 CAPACITY = 2048
+#: Words whose ids a worker remembers; beyond twice as many it forgets the long ones, which changes no result.
+REMEMBERED = 400_000
 #: The id that ends each document.
 END_ID = 0
 
@@ -47,11 +49,11 @@ class Words(dict):
         return found
 
     def forget(self) -> None:
-        """Beyond CACHE words keep the short ones, which come again most, and beyond twice as many none."""
-        if len(self) > CACHE:
-            kept = {w: x for w, x in self.items() if len(w) <= 8}
+        """Keep the short ones, which come again most; none if they are too many."""
+        if len(self) > 2 * REMEMBERED:
+            kept = {w: x for w, x in self.items() if len(w) <= 9}
             self.clear()
-            if len(kept) < CACHE // 2:
+            if len(kept) < REMEMBERED:
                 self.update(kept)
 
 
