@@ -16,6 +16,7 @@ empty result. Only the named columns are read, so other columns can have any nam
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -50,9 +51,10 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 OBFUSCATED = re.compile(r"[^\W\d_][0-9@$*!|]+[^\W\d_]")
-RUNS = re.compile(r"([^\W\d_])\1\1|[!?]{2,}")
+LETTER_RUNS = re.compile(r"([^\W\d_])\1\1+")
+MARK_RUNS = re.compile(r"[!?]{2,}")
 NEAR = 5
-FEATURES = ("learned", "learned count", "learned weight", "learned best", "fixed", "fixed count", "near you", "near you count", "you", "capitals", "capital words", "marks", "questions", "runs", "obfuscated", "obfuscated count", "words")
+FEATURES = ("learned", "learned count", "learned weight", "learned best", "fixed", "fixed count", "near you", "near you count", "you", "capitals", "capital words", "marks", "questions", "letter runs", "mark runs", "obfuscated", "obfuscated count", "words")
 
 
 def stems(word: str) -> list[str]:
@@ -102,17 +104,17 @@ class Features:
         letters = max(1, len(text))
         masked = sum(x[4] for _, x in found)
         marks, asked = text.count("!"), text.count("?")
-        upper = len(text) - len(text.translate(CAPITALS)) if any(x[3] for _, x in found) else 0
+        upper = len(text) - len(text.translate(CAPITALS))
         return [
             len(learned) / n, len(learned), sum(learned) / n, max(learned, default=0.0), fixed / n, fixed, near / n, near, len(you) / n,
-            upper / letters, sum(x[3] for _, x in found) / n, marks / n, asked / n, (len(RUNS.findall(text)) if marks or asked else 0) / n, masked / n, masked, np.log1p(len(words)),
+            upper / letters, sum(x[3] for _, x in found) / n, marks / n, asked / n, len(LETTER_RUNS.findall(text)) / n, len(MARK_RUNS.findall(text)) / n, masked / n, masked, np.log1p(len(words)),
         ]
 
     def matrix(self, texts: list[str]) -> np.ndarray:
         return np.array([self.of(x) for x in texts], np.float64).reshape(-1, len(FEATURES))
 
 
-CAPITALS = {c: None for c in range(0x250) if chr(c).isupper()}
+CAPITALS = {c: None for c in range(sys.maxunicode + 1) if chr(c).isupper()}
 
 
 @dataclass

@@ -158,6 +158,16 @@ def test_the_graph_finds_the_near_centroids():
     assert len(want & set(zip(row, cell))) >= 0.98 * len(want)
 
 
+def test_runs_and_capitals_count_in_every_text():
+    def of(text):
+        return dict(zip(toxicity.FEATURES, toxicity.Features({}).of(text), strict=True))
+
+    plain, stretched, marked = of("what a looser you are"), of("what a looooser you are"), of("what a looser you are!!")
+    assert (plain["letter runs"], stretched["letter runs"], marked["letter runs"]) == (0, 1 / 5, 0)
+    assert (plain["mark runs"], stretched["mark runs"], marked["mark runs"]) == (0, 0, 1 / 5)
+    assert of("aBcD")["capitals"] == 0.5 and of("\u0416\u0436")["capitals"] == 0.5 and of("ab")["capitals"] == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     from spindle.llm import quality, simhash
