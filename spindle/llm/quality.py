@@ -64,9 +64,6 @@ RULES = (
     Rule("repeated words", "n_repeat_words", "n_words", most=45),
 )
 
-_POSITION_BITS = 24
-
-
 def _count(of: Column) -> Column:
     return F.size(of).cast("long")
 
@@ -76,29 +73,22 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def _repeated_windows() -> Column:
-    """Starts of the 3-word windows found twice or more: windows are sorted by hash, and neighbours compared word by word."""
-    mask = (1 << _POSITION_BITS) - 1
+    """Starts of the 3-word windows, sorted by hash, then word by word, so that equal windows are neighbours."""
 
-    def at(i: Column) -> list[Column]:
-        return [F.col("_words")[i + k] for k in range(3)]
+    def window(i: Column) -> Column:
+        words = [F.col("_words")[i + k] for k in range(3)]
+        return F.struct(F.xxhash64(*words).alias("h"), *(w.alias(f"w{k}") for k, w in enumerate(words)), i.alias("i"))
 
-    packed = F.sort_array(
-        F.transform(
-            F.sequence(F.lit(0), F.col("n_words").cast("int") - 3),
-            lambda i: F.xxhash64(*at(i)).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")),
-        )
-    )
-    return F.when(F.col("n_words") >= 3, packed).otherwise(F.expr("cast(array() as array<bigint>)"))
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), window))
+    none = F.expr("cast(array() as array<struct<h: bigint, w0: string, w1: string, w2: string, i: int>>)")
+    return F.when(F.col("n_words") >= 3, windows).otherwise(none)
 
 
 def _flagged() -> Column:
-    mask = F.lit((1 << _POSITION_BITS) - 1)
-    packed, words = F.col("_packed"), F.col("_words")
+    packed = F.col("_packed")
 
     def same(x: Column, y: Column) -> Column:
-        i, j = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
-        close = F.shiftright(x, _POSITION_BITS) == F.shiftright(y, _POSITION_BITS)
-        return close & (words[i] == words[j]) & (words[i + 1] == words[j + 1]) & (words[i + 2] == words[j + 2])
+        return (x["h"] == y["h"]) & (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
 
     last = F.size(packed) - 1
     kept = F.filter(
@@ -107,7 +97,7 @@ def _flagged() -> Column:
         .when((k < last) & same(x, packed[F.least(k + 1, last)]), True)
         .otherwise(False),
     )
-    return F.sort_array(F.transform(kept, lambda x: x.bitwiseAND(mask).cast("int")))
+    return F.sort_array(F.transform(kept, lambda x: x["i"]))
 
 
 def _covered() -> Column:

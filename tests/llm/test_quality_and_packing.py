@@ -47,6 +47,13 @@ def test_counts_against_brute_force(spark):
         assert not (g["kept"] and g["base_failed"])
 
 
+def test_windows_of_equal_hash_do_not_hide_a_repeat(spark, monkeypatch):
+    texts = ["a b c x y z a b c", "q w e r t y q w e r", " ".join(f"v{i % 7}" for i in range(40)), "a b c d e f g"]
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *columns: F.lit(7).cast("long"))  # every window collides
+    got = quality.measured(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in got} == {i: brute(t)[4] for i, t in enumerate(texts)}
+
+
 def test_clean_documents_stay_and_junk_goes(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
