@@ -23,10 +23,10 @@ COMPRESSED = r'"compressed"\s*:\s*true'
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, html, html_hash) of the HTML files at a path, any file system that Spark reads. The hash is the MD5 of the bytes."""
+    """(doc, html, html_hash, modified) of the HTML files at a path, any file system that Spark reads. The hash is the MD5 of the bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.htm*").load(path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.html?$", "")
-    return files.select(name.alias("doc"), F.decode("content", "UTF-8").alias("html"), F.md5("content").alias("html_hash"))
+    return files.select(name.alias("doc"), F.decode("content", "UTF-8").alias("html"), F.md5("content").alias("html_hash"), F.col("modificationTime").alias("modified"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:

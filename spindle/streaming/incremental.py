@@ -15,12 +15,22 @@ from spindle.sources import store
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def update(documents: DataFrame, root: str, force: bool = False) -> int:
+def last_rows(documents: DataFrame, order: str = "modified") -> DataFrame:
+    """(doc, html, html_hash): the row of each document that comes last by the order column, and then by hash; without such
+    a column by hash alone. A null order comes first."""
+    at = [F.col(order)] if order in documents.columns else []
+    last = F.max_by(F.struct("html", "html_hash"), F.struct(*at, "html_hash"))
+    return documents.groupBy("doc").agg(last.alias("_last")).select("doc", "_last.html", "_last.html_hash")
+
+
+def update(documents: DataFrame, root: str, force: bool = False, order: str = "modified") -> int:
     """Build documents (doc, html, html_hash) whose hash isn't that of the current build, and switch to a build of these and
-    all others. Returns how many were built. The last row of a document counts."""
+    all others. Returns how many were built. Of several rows of a document, that of `last_rows` counts; the others are not
+    looked at, even if the current build has that one already."""
     spark = documents.sparkSession
     state = store.documents(spark, root)
-    new = (documents if force else store.changed(documents, state)).dropDuplicates(["doc"]).cache()
+    last = last_rows(documents, order)
+    new = (last if force else store.changed(last, state)).select("doc", "html", "html_hash").cache()
     n = new.count()
     if not n:
         return 0
@@ -47,7 +57,7 @@ def follow_files(spark: SparkSession, folder: str, root: str, checkpoint: str) -
     builds nothing the second time, as its hashes are there."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.htm*").load(folder)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.html?$", "")
-    rows = files.select(name.alias("doc"), F.decode("content", "UTF-8").alias("html"), F.md5("content").alias("html_hash"))
+    rows = files.select(name.alias("doc"), F.decode("content", "UTF-8").alias("html"), F.md5("content").alias("html_hash"), F.col("modificationTime").alias("modified"))
     return rows.writeStream.foreachBatch(lambda batch, _: update(batch, root) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -148,6 +148,13 @@ def test_reads_of_a_build(spark, graph):
     assert profile["gap"] == "8px" and profile["width"] is None
 
 
+def test_the_last_row_of_a_document_counts(spark):
+    rows = [("d", f"v{i}", f"h{i}", i) for i in (3, 7, 1, 5)] + [("e", "x", "hx", None), ("e", "y", "ha", 0)]
+    docs = spark.createDataFrame(rows, "doc string, html string, html_hash string, modified int").repartition(4)
+    assert {tuple(r) for r in incremental.last_rows(docs).collect()} == {("d", "v7", "h7"), ("e", "y", "ha")}
+    assert {tuple(r) for r in incremental.last_rows(docs.drop("modified")).collect()} == {("d", "v7", "h7"), ("e", "x", "hx")}
+
+
 def test_only_changed_documents_are_built(spark, graph):
     before = store.current(spark, graph)
     assert incremental.update(documents(spark, app=APP), graph) == 0 and store.current(spark, graph) == before

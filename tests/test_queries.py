@@ -99,6 +99,14 @@ def test_chunk_ids_are_unique(spark):
     assert len({r["chunk_id"] for r in got}) == 4 and {r["tokens_est"] for r in got if r["level"] == "screen"} == {1, 0}
 
 
+def test_chunk_ids_stay_apart_from_slugs_that_end_in_numbers(spark):
+    names = ["FooBar", "foo_bar", "foo_bar_1", "foo_bar_3", "foo_bar_03", "fooBar", "FOO bar", "foo-bar-1", "foo_bar_1_1", "foo bar"]
+    screens = spark.createDataFrame([(n, "x") for n in names], "screen string, content string")
+    sections = spark.createDataFrame([("foo_bar", "1", "a"), ("foo_bar", "1", "a"), ("FooBar", "2", "b"), ("other", "s", "c")], "screen string, section string, content string")
+    got = [r["chunk_id"] for r in chunks.chunks(screens, sections).collect()]
+    assert len(got) == len(names) + 3 == len(set(got)) and {"foo_bar", "foo_bar_1", "foo_bar_2", "foo_bar_3"} <= set(got)
+
+
 def test_diffs_and_hashes(spark):
     a, b = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in ("abc", "bcd"))
     assert sorted(tuple(r) for r in checks.diff(a, b, "k").collect()) == [("added", "k", "d"), ("removed", "k", "a")]
