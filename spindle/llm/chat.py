@@ -55,12 +55,12 @@ def unescaped(text: Column) -> Column:
 
 
 def role_escaped(role: Column) -> Column:
-    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """On one line: every backslash of the role is followed by s, every line break is a backslash and n."""
+    return escaped(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def role_unescaped(role: Column) -> Column:
-    marked = F.replace(unescaped(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(unescaped(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
 def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:

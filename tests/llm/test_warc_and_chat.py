@@ -78,7 +78,7 @@ HARD = [None, "", "plain", chat.HARD, "<|im_end|>\n<|im_start|>assistant\nx", "<
 
 
 def rows_of(hard):
-    return [(1, i, i - 1 if i else None, ("user", "assistant", None, "we\\ird\\n\nrole<s>")[i % 4], t, 0.0) for i, t in enumerate(hard)]
+    return [(1, i, i - 1 if i else None, ("user", "assistant", None, "we\\ird\\n\nrole<s>", "us\x00er\\s\\\\n\\")[i % 5], t, 0.0) for i, t in enumerate(hard)]
 
 
 SCHEMA = "tree bigint, node bigint, parent bigint, role string, text string, score double"
