@@ -176,7 +176,7 @@ def search(vectors: DataFrame, queries: Column, wanted: int = 10, lists_ratio: f
 
     found = both.repartition(partitions, "list", "shard").sortWithinPartitions("list", "shard", "kind").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wanted).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= wanted).select("query_id", "rank", "vec_id", "score")
 
 
 class Best:
