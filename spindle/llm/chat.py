@@ -7,7 +7,8 @@ Only ids and scores are joined again and again; texts join once.
 
 The template: <|im_start|>role, a line break, the text, <|im_end|> and a line break. A control string inside a role or
 a text gets a backslash after its first character, one more for each that is there already; taking one away restores
-the text. The loss mask has the spans of the assistant's texts.
+the text. A role stays on one line: before that, a backslash becomes \\s and a line break \\n. The loss mask
+has the spans of the assistant's texts.
 
 Defined results: a null text or role is empty; null ids of trees are a tree of their own, and null ids of messages
 never a parent; a missing parent makes a root; messages on a ring have no root, and are on no path; a null score is 0;
