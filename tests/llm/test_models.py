@@ -136,6 +136,13 @@ def test_vectors_without_part_and_few_candidates(spark):
     assert ann.search(spark.createDataFrame([], "vec_id bigint, embedding array<float>"), F.lit(True)).collect() == []
 
 
+def test_the_smallest_score_of_a_repeated_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 4.0]), (1, [1.0, 2.0]), (1, [1.0, 9.0]), (2, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 2.0), (2, 2, 3.0)]
+
+
 def test_long_lists_are_dealt_into_shards(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD", 50)
     rng = np.random.default_rng(2)
