@@ -7,8 +7,10 @@ one of BANDS bands in common meet. At a similarity of 0.8, two texts miss each o
 
 Texts with equal shingle sets are one node. Pairs that meet are first held against their sizes and against two bits of each of
 the smallest values (COARSE longs of them where they meet, as a node is there once per band, and all of them once per pair),
-which leaves out only pairs that are 4.5 standard deviations off; the others are verified on whole shingle sets, in whole
-numbers, of hashes of 48 bits.
+which leaves out only pairs that are 4.5 standard deviations off, and against parities: ODD bits, each of which tells whether
+an odd number of the set's shingles fall on it. As many bits as differ, so many shingles at least are in one set only; so
+parities leave out no similar pair, and hardly let through any other while sets are small against ODD. What is left is
+verified on whole shingle sets, in whole numbers, of hashes of 48 bits.
 
 A band's group is never paired with itself as a whole: its most central node, that which meets most others over all bands,
 is compared with the rest, and only nodes that are in different components then go on, with MORE times as many central ones.
@@ -25,6 +27,7 @@ a shingle are one shingle; A-Z are lower-cased; an empty table gives an empty re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,9 @@ VALUES = BANDS * WIDTH
 SIGNS = -(-VALUES // 32)
 #: Longs of a text's signs that go with each of its bands.
 COARSE = 2
+#: Bits of parities of a text, in longs of 64, and longs that go with each of its bands: the others folded onto them.
+ODD = 1 << 11
+PARITIES, FOLDED = ODD // 64, 4
 #: Two bits are equal for a share s of similar values, and for a quarter of the others.
 _EQUAL = LEAST / WHOLE + (1 - LEAST / WHOLE) / 4
 
@@ -91,6 +97,12 @@ def signs(least: np.ndarray) -> np.ndarray:
     return (two.reshape(SIGNS, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's shingles fall on each of ODD bits."""
+    odd = np.bincount((found >> np.uint64(65 - ODD.bit_length())).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def packed(found: np.ndarray) -> bytes:
     """A set's hashes, cut to KEPT bits, as bytes of the steps between them."""
     cut = np.unique(found >> np.uint64(64 - KEPT))
@@ -111,7 +123,7 @@ def text_key(text: str = "text") -> Column:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, `key` of the text, `node`, `size` of its shingle set, `bands` and `signs` of each row. No shuffle."""
+    """id, `key` of the text, `node`, `size` of its shingle set, `bands`, `signs` and `parities` of each row. No shuffle."""
     from xxhash import xxh64_intdigest as xxh64
 
     picked = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -125,7 +137,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
-                nodes, sizes, keys, marks = [], [], [], []
+                nodes, sizes, keys, marks, odd = [], [], [], [], []
                 for text in batch.column("text"):
                     found = shingle_set(text.as_py())
                     least = least_values(found)
@@ -133,12 +145,13 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sizes.append(len(found))
                     keys.append(bands(least) if len(found) else [])
                     marks.append(signs(least))
+                    odd.append(parities(found))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("key"), pa.array(np.array(nodes, np.uint64).view("<i8")), pa.array(sizes, pa.int64()), lists(keys), lists(marks)],
-                    ["id", "key", "node", "size", "bands", "signs"],
+                    [batch.column("id"), batch.column("key"), pa.array(np.array(nodes, np.uint64).view("<i8")), pa.array(sizes, pa.int64()), lists(keys), lists(marks), lists(odd)],
+                    ["id", "key", "node", "size", "bands", "signs", "parities"],
                 )
 
-    return picked.mapInArrow(run, f"id {kind}, key bigint, node bigint, size bigint, bands array<bigint>, signs array<bigint>")
+    return picked.mapInArrow(run, f"id {kind}, key bigint, node bigint, size bigint, bands array<bigint>, signs array<bigint>, parities array<bigint>")
 
 
 def probes(keys: np.ndarray) -> np.ndarray:
@@ -213,6 +226,14 @@ def alike(a: str, b: str, longs: int, values: int) -> Column:
     return sizes & (apart <= most_apart(values))
 
 
+def close(a: str, b: str, name: str, longs: int) -> Column:
+    """Whether parities name0, name1, ... of two nodes allow that they are similar: no similar pair is left out."""
+    apart = F.lit(0)
+    for k in range(longs):
+        apart += F.bit_count(F.col(f"{a}.{name}{k}").bitwiseXOR(F.col(f"{b}.{name}{k}")))
+    return apart * (WHOLE + LEAST) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (WHOLE - LEAST)
+
+
 def labelled(docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
     """(node, label) of the nodes that have links: label is the smallest node of the component."""
     nodes = sketches.groupBy("node").agg(F.first("bands").alias("bands"))
@@ -220,11 +241,13 @@ def labelled(docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
     shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(members.join(shared, "band"), "met")
     central = met.groupBy("node").agg(F.sum("n").alias("centre"))
-    known = sketches.select("node", "key", "size", *(F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS))).join(central, "node")
-    same = [F.first(x).alias(x) for x in ("centre", "size", *(f"s{k}" for k in range(SIGNS)))]
-    known = written(known.groupBy("node").agg(F.min("key").alias("key"), *same), "known")
+    known = sketches.select("node", "key", "size", "signs", "parities").join(central, "node")
+    same = [F.first(x).alias(x) for x in ("centre", "size", "signs", "parities")]
+    marks = [F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS)] + [F.col("parities")[k].alias(f"p{k}") for k in range(PARITIES)]
+    known = written(known.groupBy("node").agg(F.min("key").alias("key"), *same).select("node", "key", "centre", "size", *marks), "known")
     sets = written(shingle_sets(docs, known, text_col), "sets")
-    coarse = known.select("node", "centre", "size", *(f"s{k}" for k in range(COARSE)))
+    fold = [reduce(Column.bitwiseXOR, [F.col(f"p{k}") for k in range(i, PARITIES, FOLDED)]).alias(f"f{i}") for i in range(FOLDED)]
+    coarse = known.select("node", "centre", "size", *(f"s{k}" for k in range(COARSE)), *fold)
     state = written(met.select("band", "node").join(coarse, "node").withColumn("label", F.col("node")), "state")
     dropped(met)
     links: list[DataFrame] = []
@@ -233,10 +256,10 @@ def labelled(docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
         rank = F.expr("row_number() over (partition by band order by centre desc, node)")
         centres = written(state.withColumn("rank", rank).filter(F.col("rank") <= count), "centres")
         after = (F.col("c.centre") > F.col("s.centre")) | ((F.col("c.centre") == F.col("s.centre")) & (F.col("c.node") < F.col("s.node")))
-        on = (F.col("c.band") == F.col("s.band")) & after & (F.col("c.label") != F.col("s.label")) & alike("c", "s", COARSE, 32 * COARSE)
+        on = (F.col("c.band") == F.col("s.band")) & after & (F.col("c.label") != F.col("s.label")) & alike("c", "s", COARSE, 32 * COARSE) & close("c", "s", "f", FOLDED)
         near = state.alias("s").join(centres.alias("c"), on).select(F.col("c.node").alias("u"), F.col("s.node").alias("v")).distinct()
         near = near.join(known.alias("x"), F.col("u") == F.col("x.node")).join(known.alias("y"), F.col("v") == F.col("y.node"))
-        pairs = near.filter(alike("x", "y", SIGNS, VALUES)).select("u", "v")
+        pairs = near.filter(alike("x", "y", SIGNS, VALUES) & close("x", "y", "p", PARITIES)).select("u", "v")
         links.append(written(verified(pairs, sets), "links"))
         if labels is None or links[-1].limit(1).count():
             every = links[0]

@@ -67,3 +67,36 @@ def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
     rows = [(1, a, 7), (5, a, 7), (5, b, 7), (None, b, 7), (None, c, 7), (None, c, 7), (9, c, 7), (None, "d", 7), (None, "d", 8)]
     kept = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string, node int"), "").collect()
     assert sorted(((r["doc_id"] or 99), r["text"]) for r in kept) == [(1, a), (5, b), (9, c), (99, "d")]
+
+
+def test_near_copies_that_stay_apart_are_hardly_ever_paired(spark, monkeypatch):
+    """Copies of one text with five words changed, similar by 0.7: no pair is a link, and few get as far as whole sets."""
+    rng = random.Random(8)
+    words, texts, paired = [f"w{i}" for i in range(300)], [], []
+    for i in range(80):
+        near = list(words)
+        for at in rng.sample(range(5, 295), 5):
+            near[at] = f"x{i}-{at}"
+        texts.append(" ".join(near))
+    verified = shingles.verified
+
+    def counted(pairs, sets):
+        paired.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(shingles, "verified", counted)
+    monkeypatch.setattr(shingles, "bands", lambda least: [1, 2])
+    got = {r["doc_id"]: r["component"] for r in shingles.near_duplicates(as_rows(spark, texts)).collect()}
+    label = brute_components(texts)
+    assert all((got[i] == got[j]) == (label[i] == label[j]) for i in range(80) for j in range(i))
+    assert sum(paired) < 160
+
+
+def test_parities_never_leave_out_a_similar_pair():
+    texts = [t for t in planted() if t and t.strip()]
+    sets = [shingles.shingle_set(t) for t in texts]
+    odd = [shingles.parities(x) for x in sets]
+    for i in range(0, len(texts)):
+        for j in range(max(0, i - 7), i):
+            apart = sum(int(x ^ y).bit_count() for x, y in zip(odd[i].tolist(), odd[j].tolist(), strict=True))
+            assert apart <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
