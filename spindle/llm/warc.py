@@ -32,6 +32,8 @@ from spindle.llm.common import dropped, new_path, table, written
 LEAST = 100
 #: Captures in a block of the index.
 BLOCK = 256
+#: Keys of a search that go to a shard in one row.
+KEYS = 4096
 DATE = "1970-01-01T00:00:00Z"
 SHARD = "warc string, cdx string, first string, last string, blocks array<struct<key:string,offset:bigint,length:bigint,captures:int>>"
 RECORD = "key string, page_id bigint, url string, record_type string, refers_to bigint, digest string, full_bytes bigint, payload binary"
@@ -219,7 +221,8 @@ def read_archives(directory: DataFrame, folder: str) -> DataFrame:
 
 def search(directory: DataFrame, folder: str, urls: DataFrame, url_col: str = "url") -> DataFrame:
     """The records of the given URLs, as read_archives gives them. The first and last keys of shards, one of each task
-    that wrote, are sent to all executors; the directory of a shard goes to the tasks that search it."""
+    that wrote, are sent to all executors; the directory of a shard goes to the tasks that search it, once for up to KEYS
+    keys in order, which find the block that they share decompressed."""
     spark = directory.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = spark.sparkContext.broadcast(sorted(tuple(r) for r in directory.select("first", "last", "cdx").collect()))
@@ -236,21 +239,33 @@ def search(directory: DataFrame, folder: str, urls: DataFrame, url_col: str = "u
                     places.append(ends.value[i][2])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.string())], ["key", "cdx"])
 
+    def in_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places = batch.column("key"), batch.column("cdx").to_pylist()
+            cuts = [i for i in range(len(places)) if i == 0 or places[i] != places[i - 1]] + [len(places)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for c in range(a, b, KEYS):
+                    held = keys.slice(c, min(KEYS, b - c))
+                    yield pa.RecordBatch.from_arrays([pa.array([places[a]]), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held)], ["cdx", "keys"])
+
     wanted = urls.select(url_key(F.col(url_col)).alias("key")).distinct().mapInArrow(shards_of, "key string, cdx string")
-    joined = wanted.join(directory.select("cdx", "warc", "blocks"), "cdx").select("key", "cdx", "warc", "blocks").repartition(partitions, "cdx", "key")
+    dealt = wanted.repartitionByRange(partitions, "cdx", "key").sortWithinPartitions("cdx", "key").mapInArrow(in_rows, "cdx string, keys array<string>")
+    joined = dealt.join(directory.select("cdx", "warc", "blocks"), "cdx").select("keys", "cdx", "warc", "blocks")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(folder)
 
         def rows(batch: pa.RecordBatch) -> Iterator[dict]:
             for x in batch.to_pylist():
-                firsts = [b["key"] for b in x["blocks"]]
-                for b in x["blocks"][max(0, bisect.bisect_left(firsts, x["key"]) - 1) : bisect.bisect_right(firsts, x["key"])]:
-                    lines = reader.captures(x["cdx"], b["offset"], b["length"])
-                    for c in lines[bisect.bisect_left(lines, (x["key"],)) :]:
-                        if c[0] != x["key"]:
-                            break
-                        yield reader.record(x["warc"], *c)
+                firsts, at, lines = [b["key"] for b in x["blocks"]], None, []
+                for key in x["keys"]:
+                    for i in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
+                        if i != at:
+                            at, lines = i, reader.captures(x["cdx"], x["blocks"][i]["offset"], x["blocks"][i]["length"])
+                        for c in lines[bisect.bisect_left(lines, (key,)) :]:
+                            if c[0] != key:
+                                break
+                            yield reader.record(x["warc"], *c)
 
         for batch in batches:
             yield from in_batches(rows(batch))
@@ -259,9 +274,10 @@ def search(directory: DataFrame, folder: str, urls: DataFrame, url_col: str = "u
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, as its record in the archives says; a response's size and digest are those of the payload read."""
-    folder = new_path(spark, "warc")
-    records = read_archives(write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder), folder)
+    """Every page, as its record in the archives says, found by a search for the page's URL key; a response's size and digest
+    are those of the payload read."""
+    folder, pages = new_path(spark, "warc"), table(spark, sf_dir, "pages")
+    records = search(write_archives(pages.select("page_id", "url", "html"), folder), folder, pages.select("url"))
     response = F.col("record_type") == "response"
     return records.select(
         "page_id",

@@ -57,6 +57,15 @@ def test_search_over_many_blocks(spark, monkeypatch):
     assert sorted(r["page_id"] for r in warc.search(directory, folder, urls).collect()) == want
 
 
+def test_the_query_finds_every_page_by_search(spark, monkeypatch, tmp_path):
+    rows = PAGES + [(100 + i, f"http://h{i % 7}.org/{i % 90}", f"page {i % 300} " * 20) for i in range(900)] + [(2000 + i, "http://same.org/", "z") for i in range(700)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(warc, "read_archives", None)
+    monkeypatch.setattr(warc, "KEYS", 8)
+    got = sorted((r["page_id"] or 0, r["payload_digest"]) for r in warc.query(spark, str(tmp_path)).collect())
+    assert got == sorted((i or 0, hashlib.sha256((html or "").encode()).hexdigest()) for i, _, html in rows)
+
+
 def test_empty_archive(spark):
     folder = common.new_path(spark, "warc-empty")
     assert warc.read_archives(warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), folder), folder).collect() == []
