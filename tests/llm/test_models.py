@@ -93,6 +93,32 @@ def test_the_model_beats_the_base_on_held_out_texts(spark):
     assert rows[0] > 0.85 * rows[1]
 
 
+def test_words_of_a_class_are_predicted_from_their_context(spark):
+    """600 words of one ending, each after a word of its own: right pairs score better than exchanged ones."""
+    pairs = [(f"c{i}", f"{i}xyz") for i in range(600)]
+    rng = np.random.default_rng(6)
+    rows = [(j, " ".join(w for i in rng.permutation(600)[:60] for w in pairs[i])) for j in range(200)]
+    right = [(1000 + i, " ".join(pairs[i])) for i in range(600)]
+    wrong = [(2000 + i, f"{pairs[i][0]} {pairs[i - 1][1]}") for i in range(600)]
+    df = spark.createDataFrame(rows + right + wrong, "doc_id bigint, text string")
+    scored = maxent.score(df, F.col("doc_id") < 1000).filter("doc_id >= 1000")
+    mean = {r["wrong"]: r["x"] for r in scored.groupBy((F.col("doc_id") >= 2000).alias("wrong")).agg(F.avg("score").alias("x")).collect()}
+    assert mean[False] > mean[True] + 0.1
+
+
+def test_the_leaves_of_a_class_sum_up_to_one():
+    rng = np.random.default_rng(7)
+    fine = rng.random(maxent.ENDINGS << maxent.FINE) * (rng.random(maxent.ENDINGS << maxent.FINE) < 0.001)
+    splits = maxent.Splits(fine, 5000)
+    splits.table[:] = rng.normal(size=len(splits.table))
+    assert splits.depth == 5 and maxent.Splits(fine, 500_000).depth > splits.depth
+    salted = maxent.salted_context(np.array([3, 9, 4, 8], np.uint64), np.array([4]))[:, 3:]
+    paths = np.arange(1 << splits.depth) << (maxent.FINE - splits.depth)
+    for ending in (0, 5, 31):
+        log = splits.log_probability(np.repeat(salted, len(paths), 1), np.full(len(paths), ending), paths)
+        assert math.isclose(np.exp(log).sum(), 1, rel_tol=1e-4)
+
+
 def test_context_stays_in_its_text():
     key = np.array([5, 6, 7, 8, 9], np.uint64)
     a, b = maxent.context(key, np.array([3, 2])), maxent.context(key[3:], np.array([2]))
