@@ -1,13 +1,16 @@
-"""Near duplicates by the Jaccard similarity of word shingles, exact on every pair that meets.
-
-This is the form that SimHash near duplicates take in the pipeline, where texts are linked at a similarity of 0.8: there,
-10 of a fingerprint's 64 bits differ on average, and no ball of that radius can be hashed (see the README). So each text has
-smallest values of its shingle set under random orders instead of bits: WIDTH of them are a band, and texts that have
-one of BANDS bands in common meet. At a similarity of 0.8, two texts miss each other in all bands 5 times in 10^6.
-
-Texts with equal shingle sets are one node. Pairs that meet are first held against their sizes and against two bits of each of
-the smallest values (COARSE longs of them where they meet, as a node is there once per band, and all of them once per pair),
-which leaves out only pairs that are 4.5 standard deviations off, and against parities: ODD bits, each of which tells whether
+"""Near duplicates by SimHash balls over word shingles, exact on every pair that meets.
+
+Texts are linked at a similarity of 0.8, where SHARE of a SimHash's bits differ. That is too wide a radius for balls over 64 bits, so
+a fingerprint has BITS bits, cut into TABLES tables. In a table, texts with equal bits of ROUTE go to one place, where all
+variants of the other BALL bits in a ball of radius 1 are made for each text; texts that share a variant, so differ by at most two of those
+bits, meet by MARKS longs of fingerprint. Balls are made where they are looked up, and only a text's own code crosses
+the network. At a similarity of 0.8 two texts miss each other in all tables 4 times in 10^7 if they are long, 5 in 10^6 at 12 and 15
+shingles. In a table, texts that meet, by others if need be, are a band. Of four and five shingles, where more bits differ, similar texts
+are a set and one without a shingle, and meet by equality.
+
+Texts with equal shingle sets are one node. Pairs in a band are first held against their sizes and the radius of their fingerprints
+(MARKS longs of them where they meet, all of them once per pair), which leaves out only pairs that are 4.5 standard
+deviations off, and against parities: ODD bits, each of which tells whether
 an odd number of the set's shingles fall on it. As many bits as differ, so many shingles at least are in one set only; so
 parities leave out no similar pair, and hardly let through any other while sets are small against ODD. What is left is
 verified on whole shingle sets, in whole numbers, of hashes of 48 bits.
@@ -42,31 +45,34 @@ from spindle.llm.simhash import shingle_hashes
 SHINGLE = 5
 #: Linked if the similarity is at least LEAST / WHOLE.
 LEAST, WHOLE = 4, 5
-BANDS, WIDTH = 40, 6
+#: Tables of a fingerprint; bits of a table that are equal where texts meet, and bits of its balls.
+TABLES, ROUTE, BALL = 64, 4, 20
+BITS = TABLES * (ROUTE + BALL)
+LONGS = BITS // 64
+#: Share of the bits that differ at the least similarity, at most: 0.152 between large sets, up to 0.161 between 12 and 15
+#: shingles. Between SMALL and one more it is 0.1875; sets as small as those are held against no radius.
+SHARE, SMALL = 0.1612, 4
 #: Central nodes of a band's group in a round, times those of the round before.
 MORE = 16
-#: Shingles taken at a time.
-STEP = 1 << 11
+#: Shingles taken at a time, as many as a byte counts.
+STEP = 255
+#: Texts that send their codes at a time; texts that share a variant and are compared pair by pair, at most.
+SENT, FEW = 1 << 16, 32
 #: Bits of a shingle's hash that are kept to verify pairs.
 KEPT = 48
 #: Bits of the filter of texts whose shingle sets are wanted, and tasks that make it.
 FILTER, FILTERS = 1 << 26, 8
 
-#: Values of a text, in SIGNS longs of two bits each.
-VALUES = BANDS * WIDTH
-SIGNS = -(-VALUES // 32)
-#: Longs of a text's signs that go with each of its bands.
-COARSE = 2
+#: Longs of a text's fingerprint that go with each of its tables and bands.
+MARKS = 2
 #: Bits of parities of a text, in longs of 64, and longs that go with each of its bands: the others folded onto them.
 ODD = 1 << 11
 PARITIES, FOLDED = ODD // 64, 4
-#: Two bits are equal for a share s of similar values, and for a quarter of the others.
-_EQUAL = LEAST / WHOLE + (1 - LEAST / WHOLE) / 4
 
 _random = np.random.default_rng(42)
-_FACTORS = _random.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADDED = _random.integers(0, 1 << 64, VALUES, np.uint64)
+_FACTORS = _random.integers(0, 1 << 63, LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PROBES = _random.integers(0, 1 << 63, 3, np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIPS = np.array([0, *(1 << i for i in range(BALL))], np.uint64)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -74,27 +80,22 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SHINGLE), np.uint64))
 
 
-def least_values(found: np.ndarray) -> np.ndarray:
-    """The smallest value of a set under each order."""
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """The SimHash of a set, of BITS bits: a bit is set if it is set in over half of the hashes that are made of the shingles."""
+    ones = np.zeros(BITS, np.int64)
     for a in range(0, len(found), STEP):
-        np.minimum(least, (found[a : a + STEP, None] * _FACTORS + _ADDED).min(0), out=least)
-    return least
-
-
-def bands(least: np.ndarray) -> list[int]:
-    """A key of each band."""
-    from xxhash import xxh64_intdigest as xxh64
+        x = found[a : a + STEP, None] * _FACTORS
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(x.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little"), 0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<u8")
 
-    data = least.reshape(BANDS, WIDTH)
-    return [xxh64(data[i].tobytes(), i) for i in range(BANDS)]
 
-
-def signs(least: np.ndarray) -> np.ndarray:
-    """Two bits of each value."""
-    two = np.zeros(SIGNS * 32, np.uint64)
-    two[:VALUES] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(62)
-    return (two.reshape(SIGNS, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(1, dtype=np.uint64)
+def bands(own: np.ndarray) -> list[int]:
+    """The key of each table: its number, and the bits of ROUTE and BALL there."""
+    parts = own.astype("<u8", copy=False).view(np.uint8).reshape(TABLES, (ROUTE + BALL) // 8).astype(np.int64)
+    return ((np.arange(TABLES) << (ROUTE + BALL)) + (parts << np.arange(0, ROUTE + BALL, 8)).sum(1)).tolist()
 
 
 def parities(found: np.ndarray) -> np.ndarray:
@@ -103,6 +104,14 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def parts(found: np.ndarray) -> list[int]:
+    """Keys by which sets of SMALL shingles meet those of one more: their own, or those without a shingle."""
+    from xxhash import xxh64_intdigest as xxh64
+
+    of = [found] if len(found) == SMALL else [np.delete(found, i) for i in range(len(found))] if len(found) == SMALL + 1 else []
+    return [xxh64(x.tobytes()) | 1 << 63 for x in of]  # below zero as longs, unlike bands of tables
+
+
 def packed(found: np.ndarray) -> bytes:
     """A set's hashes, cut to KEPT bits, as bytes of the steps between them."""
     cut = np.unique(found >> np.uint64(64 - KEPT))
@@ -123,7 +132,7 @@ def text_key(text: str = "text") -> Column:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, `key` of the text, `node`, `size` of its shingle set, `bands`, `signs` and `parities` of each row. No shuffle."""
+    """id, `key` of the text, `node`, `size` of its shingle set, `print`, `parities` and `parts` of each row. No shuffle."""
     from xxhash import xxh64_intdigest as xxh64
 
     picked = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -137,21 +146,123 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for whole in batches:
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
-                nodes, sizes, keys, marks, odd = [], [], [], [], []
+                nodes, sizes, prints, odd, few = [], [], [], [], []
                 for text in batch.column("text"):
                     found = shingle_set(text.as_py())
-                    least = least_values(found)
                     nodes.append(xxh64(found.tobytes()))
                     sizes.append(len(found))
-                    keys.append(bands(least) if len(found) else [])
-                    marks.append(signs(least))
+                    prints.append(fingerprint(found))
                     odd.append(parities(found))
+                    few.append(parts(found))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), batch.column("key"), pa.array(np.array(nodes, np.uint64).view("<i8")), pa.array(sizes, pa.int64()), lists(keys), lists(marks), lists(odd)],
-                    ["id", "key", "node", "size", "bands", "signs", "parities"],
+                    [batch.column("id"), batch.column("key"), pa.array(np.array(nodes, np.uint64).view("<i8")), pa.array(sizes, pa.int64()), lists(prints), lists(odd), lists(few)],
+                    ["id", "key", "node", "size", "print", "parities", "parts"],
                 )
 
-    return picked.mapInArrow(run, f"id {kind}, key bigint, node bigint, size bigint, bands array<bigint>, signs array<bigint>, parities array<bigint>")
+    return picked.mapInArrow(run, f"id {kind}, key bigint, node bigint, size bigint, print array<bigint>, parities array<bigint>, parts array<bigint>")
+
+
+def coded(nodes: DataFrame) -> DataFrame:
+    """(place, n, data): nodes (node, print) dealt to the places of their tables; data is n nodes, their codes and marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(own: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+            keys = np.array([bands(x) for x in prints], np.int64)
+            at, keys = np.repeat(np.arange(len(own)), keys.shape[1]), keys.ravel()
+            order = np.argsort(keys, kind="stable")
+            at, keys = at[order], keys[order]
+            places, codes = keys >> BALL, (keys & ((1 << BALL) - 1)).astype("<u4")
+            starts = np.flatnonzero(np.diff(places, prepend=-1))
+            ends = [*starts[1:].tolist(), len(places)]
+            data = [own[at[a:b]].tobytes() + codes[a:b].tobytes() + prints[at[a:b], :MARKS].tobytes() for a, b in zip(starts.tolist(), ends, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(places[starts]), pa.array(np.array(ends) - starts), pa.array(data, pa.binary())], ["place", "n", "data"])
+
+        held, n = [], 0
+        for batch in batches:
+            prints = batch.column("print").flatten().to_numpy().reshape(batch.num_rows, -1)
+            held.append((batch.column("node").to_numpy(), prints.view("<u8")))
+            n += batch.num_rows
+            if n >= SENT:
+                yield sent(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield sent(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return nodes.select("node", "print").mapInArrow(run, "place bigint, n bigint, data binary")
+
+
+def near_marks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1) <= most_apart(64 * MARKS)
+
+
+def meeting(codes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """A root for each of the nodes of a place: that of all that it meets, by others if need be."""
+    every = ((codes.astype(np.uint64)[:, None] ^ _FLIPS) << np.uint64(32)) | np.arange(len(codes), dtype=np.uint64)[:, None]
+    every = np.sort(every.ravel())
+    at = (every & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    variant = every >> np.uint64(32)
+    starts = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
+    sizes = np.diff(np.r_[starts, len(variant)])
+    few = (sizes > 1) & (sizes <= FEW)
+    left = np.repeat(np.where(few, starts + sizes, 0), sizes)  # where a small group ends
+    first, edges = np.flatnonzero(left), []
+    for d in range(1, FEW):
+        first = first[first + d < left[first]]
+        if not len(first):
+            break
+        u, v = at[first], at[first + d]
+        near = near_marks(marks[u], marks[v])
+        edges.append((u[near], v[near]))
+    for start, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        rest = at[start : start + size]  # breadth first, each compared with those not reached yet
+        while len(rest):
+            tree, rest, k = [rest[0]], rest[1:], 0
+            while k < len(tree) and len(rest):
+                near = near_marks(marks[rest], marks[tree[k]])
+                edges.append((np.full(near.sum(), tree[k]), rest[near]))
+                tree += rest[near].tolist()
+                rest, k = rest[~near], k + 1
+    root = np.arange(len(codes))
+    if edges:
+        u, v = (np.concatenate(x) for x in zip(*edges, strict=True))
+        while len(u):
+            a, b = root[u], root[v]
+            apart = a != b
+            u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root != root[root]).any():
+                root = root[root]
+    return root
+
+
+def met_nodes(nodes: DataFrame) -> DataFrame:
+    """(band, node, n) of the nodes (node, print) that meet others; n is the number of nodes in the band."""
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(place: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            node, codes, marks = (
+                np.concatenate([np.frombuffer(x, kind, n * times, n * skipped).reshape(n, -1) for n, x in parts])
+                for kind, times, skipped in (("<i8", 1, 0), ("<u4", 1, 8), ("<u8", MARKS, 12))
+            )
+            pairs = np.unique(np.stack([meeting(codes[:, 0], marks), node[:, 0]], 1), axis=0)
+            n = np.bincount(pairs[:, 0])[pairs[:, 0]]
+            pairs, n = pairs[n > 1], n[n > 1]
+            return pa.RecordBatch.from_arrays([pa.array((place << 32) + pairs[:, 0]), pa.array(pairs[:, 1].copy()), pa.array(n)], ["band", "node", "n"])
+
+        place, parts = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("place", "n", "data")), strict=True):
+                there, n, data = (x.as_py() for x in row)
+                if there != place and parts:
+                    yield found(place, parts)
+                    parts = []
+                place = there
+                parts.append((n, data))
+        if parts:
+            yield found(place, parts)
+
+    return coded(nodes).repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "band bigint, node bigint, n bigint")
 
 
 def probes(keys: np.ndarray) -> np.ndarray:
@@ -211,19 +322,18 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "u").join(second, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def most_apart(values: int) -> int:
-    """How many of so many pairs of bits may differ."""
-    return int(values * (1 - _EQUAL) + 4.5 * (values * _EQUAL * (1 - _EQUAL)) ** 0.5)
+def most_apart(bits: int) -> int:
+    """The radius: how many of so many bits may differ."""
+    return int(bits * SHARE + 4.5 * (bits * SHARE * (1 - SHARE)) ** 0.5)
 
 
-def alike(a: str, b: str, longs: int, values: int) -> Column:
-    """Whether sizes and signs s0, s1, ... of two nodes allow that they are similar."""
+def alike(a: str, b: str, longs: int) -> Column:
+    """Whether sizes and fingerprints s0, s1, ... of two nodes allow that they are similar."""
     sizes = (WHOLE * F.col(f"{a}.size") >= LEAST * F.col(f"{b}.size")) & (WHOLE * F.col(f"{b}.size") >= LEAST * F.col(f"{a}.size"))
     apart = F.lit(0)
     for k in range(longs):
-        x = F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))
-        apart += F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return sizes & (apart <= most_apart(values))
+        apart += F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}")))
+    return sizes & ((apart <= most_apart(64 * longs)) | (F.col(f"{a}.size") <= SMALL + 1))
 
 
 def close(a: str, b: str, name: str, longs: int) -> Column:
@@ -236,18 +346,19 @@ def close(a: str, b: str, name: str, longs: int) -> Column:
 
 def labelled(docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
     """(node, label) of the nodes that have links: label is the smallest node of the component."""
-    nodes = sketches.groupBy("node").agg(F.first("bands").alias("bands"))
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(members.join(shared, "band"), "met")
+    nodes = written(sketches.filter("size > 0").groupBy("node").agg(F.first("print").alias("print"), F.first("parts").alias("parts")), "nodes")
+    few = nodes.select(F.explode("parts").alias("band"), "node")
+    shared = few.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(met_nodes(nodes).unionByName(few.join(shared, "band")), "met")
+    dropped(nodes)
     central = met.groupBy("node").agg(F.sum("n").alias("centre"))
-    known = sketches.select("node", "key", "size", "signs", "parities").join(central, "node")
-    same = [F.first(x).alias(x) for x in ("centre", "size", "signs", "parities")]
-    marks = [F.col("signs")[k].alias(f"s{k}") for k in range(SIGNS)] + [F.col("parities")[k].alias(f"p{k}") for k in range(PARITIES)]
+    known = sketches.select("node", "key", "size", "print", "parities").join(central, "node")
+    same = [F.first(x).alias(x) for x in ("centre", "size", "print", "parities")]
+    marks = [F.col("print")[k].alias(f"s{k}") for k in range(LONGS)] + [F.col("parities")[k].alias(f"p{k}") for k in range(PARITIES)]
     known = written(known.groupBy("node").agg(F.min("key").alias("key"), *same).select("node", "key", "centre", "size", *marks), "known")
     sets = written(shingle_sets(docs, known, text_col), "sets")
     fold = [reduce(Column.bitwiseXOR, [F.col(f"p{k}") for k in range(i, PARITIES, FOLDED)]).alias(f"f{i}") for i in range(FOLDED)]
-    coarse = known.select("node", "centre", "size", *(f"s{k}" for k in range(COARSE)), *fold)
+    coarse = known.select("node", "centre", "size", *(f"s{k}" for k in range(MARKS)), *fold)
     state = written(met.select("band", "node").join(coarse, "node").withColumn("label", F.col("node")), "state")
     dropped(met)
     links: list[DataFrame] = []
@@ -256,10 +367,10 @@ def labelled(docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
         rank = F.expr("row_number() over (partition by band order by centre desc, node)")
         centres = written(state.withColumn("rank", rank).filter(F.col("rank") <= count), "centres")
         after = (F.col("c.centre") > F.col("s.centre")) | ((F.col("c.centre") == F.col("s.centre")) & (F.col("c.node") < F.col("s.node")))
-        on = (F.col("c.band") == F.col("s.band")) & after & (F.col("c.label") != F.col("s.label")) & alike("c", "s", COARSE, 32 * COARSE) & close("c", "s", "f", FOLDED)
+        on = (F.col("c.band") == F.col("s.band")) & after & (F.col("c.label") != F.col("s.label")) & alike("c", "s", MARKS) & close("c", "s", "f", FOLDED)
         near = state.alias("s").join(centres.alias("c"), on).select(F.col("c.node").alias("u"), F.col("s.node").alias("v")).distinct()
         near = near.join(known.alias("x"), F.col("u") == F.col("x.node")).join(known.alias("y"), F.col("v") == F.col("y.node"))
-        pairs = near.filter(alike("x", "y", SIGNS, VALUES) & close("x", "y", "p", PARITIES)).select("u", "v")
+        pairs = near.filter(alike("x", "y", LONGS) & close("x", "y", "p", PARITIES)).select("u", "v")
         links.append(written(verified(pairs, sets), "links"))
         if labels is None or links[-1].limit(1).count():
             every = links[0]

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline as P
 from spindle.llm import shingles
 
@@ -100,3 +102,59 @@ def test_parities_never_leave_out_a_similar_pair():
         for j in range(max(0, i - 7), i):
             apart = sum(int(x ^ y).bit_count() for x, y in zip(odd[i].tolist(), odd[j].tolist(), strict=True))
             assert apart <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
+
+
+def test_fingerprints_of_similar_sets_lie_within_the_radius():
+    """SimHash by hand, and the share of bits that differ at a similarity of 0.8."""
+    rng = np.random.default_rng(3)
+    apart = []
+    for n in (45, 900):
+        for _ in range(20):
+            x = np.unique(rng.integers(0, 1 << 64, 10 * n, np.uint64))
+            a, b = shingles.fingerprint(x[: 9 * n]), shingles.fingerprint(x[n:])
+            apart.append(int(np.bitwise_count(a ^ b).sum()))
+    assert max(apart) <= shingles.most_apart(shingles.BITS) and 0.13 < sum(apart) / 40 / shingles.BITS < 0.17
+    one = [shingles.fingerprint(x[i : i + 1]) for i in range(301)]
+    ones = sum(np.unpackbits(y.view(np.uint8), bitorder="little").astype(int) for y in one)
+    assert (np.unpackbits(shingles.fingerprint(x[:301]).view(np.uint8), bitorder="little") == (2 * ones > 301)).all()
+    keys = shingles.bands(one[0])
+    assert len(keys) == shingles.TABLES and [k >> (shingles.ROUTE + shingles.BALL) for k in keys] == list(range(shingles.TABLES))
+
+
+def test_balls_meet_at_two_bits_and_groups_of_any_size():
+    """Against brute force: codes two bits apart or less, marks within the radius."""
+    rng = np.random.default_rng(4)
+    for spread, texts in ((4, 300), (40, 300), (1 << shingles.BALL, 300), (1, 90)):
+        codes = rng.integers(0, spread, texts).astype("<u4")
+        marks = rng.integers(0, 1 << 64, (texts // 3, shingles.MARKS), np.uint64)[rng.integers(0, texts // 3, texts)]
+        marks ^= np.uint64(1) << rng.integers(0, 64, marks.shape).astype(np.uint64)
+        label = list(range(texts))
+        for i in range(texts):
+            for j in range(i):
+                if int(codes[i] ^ codes[j]).bit_count() <= 2 and shingles.near_marks(marks[i], marks[j]):
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        assert shingles.meeting(codes, marks).tolist() == label
+
+
+def test_texts_meet_in_their_tables_and_hardly_any_others(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:180], "new", *words[181:]]))]
+    sketches = shingles.sketched(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")
+    node = {r["node"]: r["id"] for r in sketches.select("node", "id").collect()}
+    met = {}
+    for r in shingles.met_nodes(sketches).collect():
+        met.setdefault(r["band"], []).append((node[r["node"]], r["n"]))
+    assert all(sorted(x) == [(2 * (x[0][0] // 2), 2), (2 * (x[0][0] // 2) + 1, 2)] for x in met.values())
+    assert {x[0][0] // 2 for x in met.values()} == set(range(60))
+
+
+def test_all_similar_sets_of_four_and_five_shingles_meet(spark):
+    texts = []
+    for i in range(300):
+        words = [f"{c}{i}" for c in "abcdefghi"]
+        texts += [" ".join(words), " ".join(words[:-1]), " ".join([*words[:4], "x", *words[5:]])]
+    kept = P.near_duplicates(spark, as_rows(spark, texts), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i in range(900) if i % 3 != 1)
