@@ -224,3 +224,39 @@ def test_pipeline_stages(spark):
     for _, stage in P.STAGES:
         empty = P.written(stage(spark, empty, base), "empty")
     assert empty.count() == 0
+
+
+def test_a_round_has_no_more_tasks_than_its_tokens_ask_for(spark, monkeypatch):
+    """Each task sends what it changes, so small partitions are trained on together."""
+    df = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(60))) for i in range(400)], "doc_id bigint, text string").repartition(16)
+    add, made = maxent.Update.add, []
+
+    def seen(self, x):
+        made.append(int(np.frombuffer(x["times"], np.float32).max()))
+        add(self, x)
+
+    monkeypatch.setattr(maxent.Update, "add", seen)
+    assert maxent.tasks_of(0) == 1 and maxent.tasks_of(maxent.TASK) == 1 and maxent.tasks_of(maxent.TASK + 1) == 2
+    for least, several in ((maxent.TASK, False), (1, True)):
+        monkeypatch.setattr(maxent, "TASK", least)
+        made.clear()
+        assert maxent.score(df, F.lit(True)).count() == 400
+        maxent.score(df, F.lit(True)).collect()
+        assert made and (max(made) > 1) == several
+
+
+def test_steps_of_splits_are_those_of_the_whole_table():
+    rng = np.random.default_rng(2)
+    splits = maxent.Splits(rng.random(maxent.ENDINGS << maxent.FINE), 300_000)
+    key, ending, path = rng.integers(0, 500, 600).astype(np.uint64), rng.integers(0, maxent.ENDINGS, 600), rng.integers(0, 1 << maxent.FINE, 600)
+    salted = maxent.salted_context(key, np.array([600]))
+    table, steps = splits.table.copy(), splits.steps.copy()
+    for _ in range(2):
+        sums = np.zeros_like(table)
+        for d in range(splits.depth):
+            rows, side, z = splits.level(d, salted, ending, path)
+            np.add.at(sums, rows.ravel(), np.tile(side / (1 + np.exp(z)), len(rows)))
+        steps += sums * sums
+        table += sums / np.sqrt(steps) * np.float32(maxent.SPLIT_RATE)
+        splits.update(salted, ending, path)
+    assert np.array_equal(splits.table, table) and np.array_equal(splits.steps, steps) and not splits.sums.any()
