@@ -5,8 +5,8 @@ a fingerprint has BITS bits, cut into TABLES tables. In a table, texts with equa
 variants of the other BALL bits in a ball of radius 1 are made for each text; texts that share a variant, so differ by at most two of those
 bits, meet by MARKS longs of fingerprint. Balls are made where they are looked up, and only a text's own code crosses
 the network. At a similarity of 0.8 two texts miss each other in all tables 4 times in 10^7 if they are long, 5 in 10^6 at 12 and 15
-shingles. In a table, texts that meet, by others if need be, are a band. Of four and five shingles, where more bits differ, similar texts
-are a set and one without a shingle, and meet by equality.
+shingles. In a table, texts that meet, by others if need be, are a band; the same texts in several tables are one band. Of four and five
+shingles, where more bits differ, similar texts are a set and one without a shingle, and meet by equality.
 
 Texts with equal shingle sets are one node. Pairs in a band are first held against their sizes and the radius of their fingerprints
 (MARKS longs of them where they meet, all of them once per pair), which leaves out only pairs that are 4.5 standard
@@ -16,8 +16,10 @@ parities leave out no similar pair, and hardly let through any other while sets
 verified on whole shingle sets, in whole numbers, of hashes of 48 bits.
 
 A band's group is never paired with itself as a whole: its most central node, that which meets most others over all bands,
-is compared with the rest, and only nodes that are in different components then go on, with MORE times as many central ones.
-A round without a new link leaves the components as they are.
+is compared with the rest. Then the band's largest component is its common one, and in further rounds only nodes that stay apart from it
+are central, of MORE times as many ranks each time. They are compared with all nodes of other components, the common one's included; those that
+join that component are never central any more. Once every node that stays apart has been central, so has one of every pair in different
+components. A round's new links join the components that were there; a round without one leaves them as they are.
 A group that holds together needs one round and a link per node. Nodes that meet and stay apart are compared pair by pair.
 
 The shingle sets of nodes that meet others are made in a second pass over the texts, which a filter of FILTER bits keeps to
@@ -67,7 +69,7 @@ FILTER, FILTERS = 1 << 26, 8
 MARKS = 2
 #: Bits of parities of a text, in longs of 64, and longs that go with each of its bands: the others folded onto them.
 ODD = 1 << 11
-PARITIES, FOLDED = ODD // 64, 4
+PARITIES, FOLDED = ODD // 64, 16
 
 _random = np.random.default_rng(42)
 _FACTORS = _random.integers(0, 1 << 63, LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -235,34 +237,45 @@ def meeting(codes: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return root
 
 
+def named(roots: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """A band for each of the nodes: a hash of the nodes with its root, so that the same nodes are the same band in every table."""
+    x = nodes.view(np.uint64) * _PROBES[0]
+    x ^= x >> np.uint64(32)
+    x *= _PROBES[1]
+    x ^= x >> np.uint64(29)
+    sums = np.zeros(len(nodes), np.uint64)
+    np.add.at(sums, roots, x)
+    return (sums[roots] >> np.uint64(1)).view(np.int64)
+
+
 def met_nodes(nodes: DataFrame) -> DataFrame:
-    """(band, node, n) of the nodes (node, print) that meet others; n is the number of nodes in the band."""
+    """(band, node, n, times) of the nodes (node, print) that meet others; n is the number of nodes in the band, times that of its tables."""
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(place: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        def found(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
             node, codes, marks = (
                 np.concatenate([np.frombuffer(x, kind, n * times, n * skipped).reshape(n, -1) for n, x in parts])
                 for kind, times, skipped in (("<i8", 1, 0), ("<u4", 1, 8), ("<u8", MARKS, 12))
             )
-            pairs = np.unique(np.stack([meeting(codes[:, 0], marks), node[:, 0]], 1), axis=0)
-            n = np.bincount(pairs[:, 0])[pairs[:, 0]]
-            pairs, n = pairs[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array((place << 32) + pairs[:, 0]), pa.array(pairs[:, 1].copy()), pa.array(n)], ["band", "node", "n"])
+            roots, own = np.unique(np.stack([meeting(codes[:, 0], marks), node[:, 0]], 1), axis=0).T.copy()
+            n = np.bincount(roots)[roots]
+            return pa.RecordBatch.from_arrays([pa.array(x[n > 1]) for x in (named(roots, own), own, n)], ["band", "node", "n"])
 
         place, parts = None, []
         for batch in batches:
             for row in zip(*(batch.column(c) for c in ("place", "n", "data")), strict=True):
                 there, n, data = (x.as_py() for x in row)
                 if there != place and parts:
-                    yield found(place, parts)
+                    yield found(parts)
                     parts = []
                 place = there
                 parts.append((n, data))
         if parts:
-            yield found(place, parts)
+            yield found(parts)
 
-    return coded(nodes).repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "band bigint, node bigint, n bigint")
+    every = coded(nodes).repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "band bigint, node bigint, n bigint")
+    return every.groupBy("band", "node").agg(F.first("n").alias("n"), F.count("*").alias("times"))
 
 
 def probes(keys: np.ndarray) -> np.ndarray:
@@ -344,14 +357,25 @@ def close(a: str, b: str, name: str, longs: int) -> Column:
     return apart * (WHOLE + LEAST) <= (F.col(f"{a}.size") + F.col(f"{b}.size")) * (WHOLE - LEAST)
 
 
+def linked(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, label), joined up by more links (u, v): only the components that these reach are found anew."""
+    if labels is None:
+        return components(links)
+    ends = links.join(labels.toDF("u", "a"), "u", "left").join(labels.toDF("v", "b"), "v", "left")
+    moved = components(ends.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")))
+    new = moved.join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))
+    roots = moved.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    return labels.union(new).join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+
+
 def labelled(docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
     """(node, label) of the nodes that have links: label is the smallest node of the component."""
     nodes = written(sketches.filter("size > 0").groupBy("node").agg(F.first("print").alias("print"), F.first("parts").alias("parts")), "nodes")
     few = nodes.select(F.explode("parts").alias("band"), "node")
     shared = few.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    met = written(met_nodes(nodes).unionByName(few.join(shared, "band")), "met")
+    met = written(met_nodes(nodes).unionByName(few.join(shared, "band").withColumn("times", F.lit(1).cast("long"))), "met")
     dropped(nodes)
-    central = met.groupBy("node").agg(F.sum("n").alias("centre"))
+    central = met.groupBy("node").agg(F.sum(F.col("n") * F.col("times")).alias("centre"))
     known = sketches.select("node", "key", "size", "print", "parities").join(central, "node")
     same = [F.first(x).alias(x) for x in ("centre", "size", "print", "parities")]
     marks = [F.col("print")[k].alias(f"s{k}") for k in range(LONGS)] + [F.col("parities")[k].alias(f"p{k}") for k in range(PARITIES)]
@@ -359,36 +383,46 @@ def labelled(docs: DataFrame, sketches: DataFrame, text_col: str) -> DataFrame:
     sets = written(shingle_sets(docs, known, text_col), "sets")
     fold = [reduce(Column.bitwiseXOR, [F.col(f"p{k}") for k in range(i, PARITIES, FOLDED)]).alias(f"f{i}") for i in range(FOLDED)]
     coarse = known.select("node", "centre", "size", *(f"s{k}" for k in range(MARKS)), *fold)
-    state = written(met.select("band", "node").join(coarse, "node").withColumn("label", F.col("node")), "state")
+    rank = F.expr("row_number() over (partition by band order by centre desc, node)").alias("rank")
+    ranked = met.select("band", "node").join(known.select("node", "centre"), "node").select("band", "node", rank)
+    apart = written(ranked.join(coarse, "node").select("*", F.col("node").alias("label"), F.lit(0).alias("common")), "apart")
     dropped(met)
-    links: list[DataFrame] = []
-    labels, count = None, 1
+    labels, done, count, commons, made = None, 0, 1, None, [apart]
     while True:
-        rank = F.expr("row_number() over (partition by band order by centre desc, node)")
-        centres = written(state.withColumn("rank", rank).filter(F.col("rank") <= count), "centres")
-        after = (F.col("c.centre") > F.col("s.centre")) | ((F.col("c.centre") == F.col("s.centre")) & (F.col("c.node") < F.col("s.node")))
-        on = (F.col("c.band") == F.col("s.band")) & after & (F.col("c.label") != F.col("s.label")) & alike("c", "s", MARKS) & close("c", "s", "f", FOLDED)
-        near = state.alias("s").join(centres.alias("c"), on).select(F.col("c.node").alias("u"), F.col("s.node").alias("v")).distinct()
+        done += count
+        centres = apart.filter(F.col("rank") <= done)
+        others = apart.drop("main") if commons is None else apart.drop("main").unionByName(commons)
+        wanted = (F.col("s.common") == 1) | ((F.col("c.rank") < F.col("s.rank")) & (F.col("c.label") != F.col("s.label")))
+        on = (F.col("c.band") == F.col("s.band")) & wanted & alike("c", "s", MARKS) & close("c", "s", "f", FOLDED)
+        near = others.alias("s").join(centres.alias("c"), on).select(F.col("c.node").alias("u"), F.col("s.node").alias("v")).distinct()
         near = near.join(known.alias("x"), F.col("u") == F.col("x.node")).join(known.alias("y"), F.col("v") == F.col("y.node"))
         pairs = near.filter(alike("x", "y", LONGS) & close("x", "y", "p", PARITIES)).select("u", "v")
-        links.append(written(verified(pairs, sets), "links"))
-        if labels is None or links[-1].limit(1).count():
-            every = links[0]
-            for x in links[1:]:
-                every = every.union(x)
-            if labels is not None:
-                dropped(labels)
-            labels = written(components(every), "node-labels")
-        last = centres.groupBy("band").agg(F.max(F.struct(-F.col("centre"), "node")).alias("last"))
-        rest = state.join(last, "band").filter(F.struct(-F.col("centre"), "node") > F.col("last")).drop("last", "label")
-        rest = written(rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "rest")
-        apart = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("band")
-        before, state = state, written(rest.join(apart, "band", "left_semi"), "state")
-        dropped(before, centres, rest)
-        if not state.limit(1).count():
+        links = written(verified(pairs, sets), "links")
+        rest = apart.filter(F.col("rank") > done)
+        if labels is None or links.limit(1).count():
+            old, labels = labels, written(linked(labels, links), "node-labels")
+            if old is not None:
+                dropped(old)
+            rest = rest.drop("label", "common").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            if commons is None:
+                rest = written(rest, "rest")
+                made.append(rest)
+                of = rest.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band")
+                several = of.agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter("n > most.n")
+                rest = rest.join(several.select("band", F.col("most.label").alias("main")), "band")
+            else:
+                roots = labels.select(F.col("node").alias("main"), F.col("label").alias("root"))
+                rest = rest.join(roots, "main", "left").withColumn("main", F.coalesce("root", "main")).drop("root")
+            rest = written(rest.withColumn("common", (F.col("label") == F.col("main")).cast("int")), "rest")
+            made.append(rest)
+            joining = rest.filter("common = 1").drop("main")
+            commons = joining if commons is None else commons.unionByName(joining)
+        dropped(links)
+        apart = rest.filter("common = 0")
+        if not apart.limit(1).count():
             break
         count *= MORE
-    dropped(state, known, sets, *links)
+    dropped(known, sets, *made)
     return labels
 
 

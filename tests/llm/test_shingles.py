@@ -158,3 +158,49 @@ def test_all_similar_sets_of_four_and_five_shingles_meet(spark):
         texts += [" ".join(words), " ".join(words[:-1]), " ".join([*words[:4], "x", *words[5:]])]
     kept = P.near_duplicates(spark, as_rows(spark, texts), "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(i for i in range(900) if i % 3 != 1)
+
+
+def test_the_same_texts_are_one_band_in_every_table(spark):
+    """Two copies of each text with one word changed meet in most of the tables, and are a band, not one for each table."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(20):
+        words = [f"w{rng.randrange(4000)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:180], "new", *words[181:]]))]
+    met = shingles.met_nodes(shingles.sketched(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text")).collect()
+    assert len({r["band"] for r in met}) == len(met) / 2 == 20
+    assert min(r["times"] for r in met) > 20
+
+
+def test_links_join_up_the_components_before_without_those_that_they_do_not_reach(spark, monkeypatch):
+    """The same components as of all links at once; the second search for components gets the new links' ends alone."""
+    rng = random.Random(10)
+    first = [(a, b) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(150)) if a != b]
+    more = [(a, b) for a, b in ((rng.randrange(500), rng.randrange(500)) for _ in range(12)) if a != b]
+    edges = lambda pairs: spark.createDataFrame(pairs, "u bigint, v bigint")
+    want = {r["node"]: r["label"] for r in shingles.components(edges(first + more)).collect()}
+    before = shingles.components(edges(first)).persist()
+    searched, components = [], shingles.components
+
+    def counted(links):
+        searched.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(shingles, "components", counted)
+    assert {r["node"]: r["label"] for r in shingles.linked(before, edges(more)).collect()} == want
+    assert searched == [len(more)]
+
+
+def test_a_family_that_stays_apart_makes_few_rows_where_it_meets():
+    """Copies with five words changed, similar by 0.7: what meets in a band is left out there, not after the join."""
+    rng = random.Random(8)
+    words, sets = [f"w{i}" for i in range(300)], []
+    for i in range(80):
+        near = list(words)
+        for at in rng.sample(range(5, 295), 5):
+            near[at] = f"x{i}-{at}"
+        sets.append(shingles.shingle_set(" ".join(near)))
+    odd = np.array([shingles.parities(x) for x in sets]).reshape(80, -1, shingles.FOLDED)
+    marks = np.bitwise_xor.reduce(odd, 1)
+    left = sum(9 * int(np.bitwise_count(marks[i] ^ marks[j]).sum()) <= len(sets[i]) + len(sets[j]) for i in range(80) for j in range(i))
+    assert left < 0.05 * 80 * 79 / 2
