@@ -13,6 +13,7 @@ from spindle.functions.columns import match_rank, match_score, slug, snap
 from spindle.operators import checks, chunks, links, reads, search
 from spindle.operators.closure import closure
 from spindle.plans import catalogue, report
+from spindle.session import sized
 from spindle.sources.stand_in import stand_in
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -118,3 +119,17 @@ def test_reports(spark, sf_dir):
     assert "## Component" in report.search_markdown(g, "part#19")
     assert re.search(r"- screens: \d+", report.document_markdown(g, "Shop"))
     assert '"status": "ok"' in report.validation_json(g)
+
+
+@pytest.mark.parametrize("name", ["impact_token", "token_usage"])
+def test_only_the_bounded_tokens_are_broadcast_before_sizes_are_measured(spark, sf_dir, name):
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("lower(value" in line or "_value" in line for line in joins)
+
+
+def test_sessions_have_partitions_in_proportion_to_the_input(spark):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = {k: spark.conf.get(k, None) for k in (name, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    one, six = (int(sized(spark, gb << 30).conf.get(name)) for gb in (1, 6))
+    assert six == 6 * one and before == {k: spark.conf.get(k, None) for k in before}
