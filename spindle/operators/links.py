@@ -19,6 +19,12 @@ def split_references(refs: DataFrame, screens: DataFrame) -> tuple[DataFrame, Da
     return refs.join(names, "dst", "left_semi").select("src", "dst"), refs.join(names, "dst", "left_anti").select("src", "dst")
 
 
+def marked_references(refs: DataFrame, screens: DataFrame) -> DataFrame:
+    """(src, dst, known): references, each read once, and whether they are to declared screens."""
+    names = screens.select(F.col("name").alias("dst")).distinct().withColumn("_known", F.lit(True))
+    return refs.join(names, "dst", "left").select("src", "dst", F.coalesce("_known", F.lit(False)).alias("known"))
+
+
 def shells(refs: DataFrame, components: DataFrame) -> DataFrame:
     """A component without occurrence for each name that is referenced but not defined."""
     missing = refs.select(F.col("dst").alias("name")).distinct().join(components.select("name"), "name", "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from spindle.functions.columns import match_rank, match_score, slug, snap
+from spindle.model import Graph
 from spindle.operators import checks, chunks, links, reads, search
 from spindle.operators.closure import closure
 from spindle.plans import catalogue, report
@@ -133,3 +134,8 @@ def test_sessions_have_partitions_in_proportion_to_the_input(spark):
     before = {k: spark.conf.get(k, None) for k in (name, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
     one, six = (int(sized(spark, gb << 30).conf.get(name)) for gb in (1, 6))
     assert six == 6 * one and before == {k: spark.conf.get(k, None) for k in before}
+
+
+def test_references_are_read_once(spark, sf_dir):
+    plan = catalogue.QUERIES["ref_split_semi_anti"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey") and plan.count("Join ") == 1
