@@ -139,3 +139,14 @@ def test_sessions_have_partitions_in_proportion_to_the_input(spark):
 def test_references_are_read_once(spark, sf_dir):
     plan = catalogue.QUERIES["ref_split_semi_anti"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("l_orderkey") and plan.count("Join ") == 1
+
+
+def test_tokens_of_screens_are_words_of_bits_until_the_end(spark):
+    tokens = [f"t{i}" for i in range(150)]
+    uses = spark.createDataFrame([("s1", "a"), ("s2", "b"), ("s3", "c"), ("s2", "a")], "src string, dst string")
+    contains = spark.createDataFrame([("a", "x"), ("x", "y"), ("y", "z"), ("z", "far")], "src string, dst string")
+    of = [("z", t) for t in tokens] + [("b", "t7"), ("b", "only"), ("far", "none"), ("a", "t7")]
+    g = Graph(spark, uses_component=uses, contains=contains, uses_token=spark.createDataFrame(of, "src string, dst string"))
+    df = reads.tokens_of_screens(g)
+    assert sorted(tuple(r) for r in df.collect()) == sorted([(s, t) for s in ("s1", "s2") for t in tokens] + [("s2", "only")])
+    assert "bit_or" in df._jdf.queryExecution().optimizedPlan().toString()
